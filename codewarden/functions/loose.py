@@ -1,59 +1,80 @@
 """Loosely typed JSON fields, read from a VARIANT column.
 
-A missing key gives SQL NULL, a JSON null gives kind VOID: the two differ in several importers.
+`unpack` looks each field up once; the other functions work on what it leaves.  A missing key gives
+a NULL kind, a JSON null the kind VOID: the two differ in several importers.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions.text import strip
 
 
-def field(record: Column, name: str) -> Column:
-    return F.try_variant_get(record, f"$.{name}", "variant")
+def pin(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
 
+    A later filter on them is not pushed below their definition, which would copy it and, for a
+    parsed record, parse every row again for each mention.
+    """
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return rows.withColumn("_pin", F.explode(F.array(values))).select(*rows.columns, "_pin.*")
 
-def kind(record: Column, name: str) -> Column:
-    """Type name of the field; NULL when the key is missing."""
-    return F.schema_of_variant(field(record, name))
 
+def unpack(records: DataFrame, record: str, *names: str) -> DataFrame:
+    """Add one struct per field: its kind, its text and, for a list, the first item's text."""
+    r = F.col(record)
 
-def text(record: Column, name: str) -> Column:
+    def parts(name: str) -> Column:
+        return F.struct(
+            F.schema_of_variant(F.try_variant_get(r, f"$.{name}", "variant")).alias("kind"),
+            F.try_variant_get(r, f"$.{name}", "string").alias("text"),
+            F.try_variant_get(r, f"$.{name}[0]", "string").alias("first"))
+
+    return pin(records, {f"_f_{name}": parts(name) for name in names})
+
+
+def kind(name: str) -> Column:
+    return F.col(f"_f_{name}.kind")
+
+
+def text(name: str) -> Column:
     """The field as text; arrays and objects as their JSON."""
-    return F.try_variant_get(record, f"$.{name}", "string")
+    return F.col(f"_f_{name}.text")
+
+
+def first_item(name: str) -> Column:
+    return F.col(f"_f_{name}.first")
 
 
-def is_list(record: Column, name: str) -> Column:
-    return F.coalesce(F.startswith(kind(record, name), F.lit("ARRAY")), F.lit(False))
+def missing(name: str) -> Column:
+    return kind(name).isNull()
 
 
-def first_item(record: Column, name: str) -> Column:
-    return F.try_variant_get(record, f"$.{name}[0]", "string")
+def is_list(name: str) -> Column:
+    return F.coalesce(F.startswith(kind(name), F.lit("ARRAY")), F.lit(False))
 
 
-def truthy(record: Column, name: str) -> Column:
+def truthy(name: str) -> Column:
     """Filled in the scripting sense: not missing, null, false, zero, or empty."""
-    value = text(record, name)
-    shape = kind(record, name)
+    value, shape = text(name), kind(name)
     return (
-        F.when(shape.isNull() | (shape == "VOID"), F.lit(False))
+        F.when(missing(name) | (shape == "VOID"), F.lit(False))
         .when(shape == "BOOLEAN", value == "true")
         .when(shape == "STRING", value != "")
-        .when(F.startswith(shape, F.lit("ARRAY")), value != "[]")
+        .when(is_list(name), value != "[]")
         .when(F.startswith(shape, F.lit("OBJECT")), value != "{}")
         .otherwise(F.coalesce(value.try_cast("double") != 0.0, F.lit(True)))
     )
 
 
-def truthy_text(record: Column, *names: str) -> Column:
+def truthy_text(*names: str) -> Column:
     """Text of the first filled field."""
-    return F.coalesce(*[F.when(truthy(record, n), text(record, n)) for n in names])
+    return F.coalesce(*[F.when(truthy(n), text(n)) for n in names])
 
 
-def whole_number(record: Column, name: str) -> Column:
+def whole_number(name: str) -> Column:
     """Integer value; NULL for a missing key, a JSON null and anything that is no number."""
-    value = text(record, name)
-    shape = kind(record, name)
+    value, shape = text(name), kind(name)
     return (
         F.when(shape == "BOOLEAN", (value == "true").cast("bigint"))
         .when(shape == "STRING", strip(value).try_cast("bigint"))
@@ -63,18 +84,16 @@ def whole_number(record: Column, name: str) -> Column:
     )
 
 
-def whole_number_or_zero_if_missing(record: Column, name: str) -> Column:
+def whole_number_or_zero_if_missing(name: str) -> Column:
     """Missing key is 0, a null or unreadable value stays NULL so that the row can be rejected."""
-    return F.when(field(record, name).isNull(), F.lit(0).cast("bigint")).otherwise(
-        whole_number(record, name))
+    return F.when(missing(name), F.lit(0).cast("bigint")).otherwise(whole_number(name))
 
 
-def flag_label(record: Column, name: str) -> Column:
+def flag_label(name: str) -> Column:
     """0/1 label: text counts as 1 only as `1`, `true` or `True`; numbers keep their value."""
-    from_text = strip(text(record, name)).isin("1", "true", "True").cast("bigint")
-    return F.when(kind(record, name) == "STRING", from_text).otherwise(
-        whole_number_or_zero_if_missing(record, name))
+    from_text = strip(text(name)).isin("1", "true", "True").cast("bigint")
+    return F.when(kind(name) == "STRING", from_text).otherwise(whole_number_or_zero_if_missing(name))
 
 
-def scalar_or_first(record: Column, name: str) -> Column:
-    return F.when(is_list(record, name), first_item(record, name)).otherwise(text(record, name))
+def scalar_or_first(name: str) -> Column:
+    return F.when(is_list(name), first_item(name)).otherwise(text(name))

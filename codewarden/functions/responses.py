@@ -1,6 +1,6 @@
 """Model responses: validation, clean-up and certainty measures."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
@@ -36,8 +36,11 @@ def clamp_confidence(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
 
 
-def _numeric(record: Column, name: str) -> Column:
-    shape, value = loose.kind(record, name), loose.text(record, name)
+RESPONSE_FIELDS = ("thought_process", "static_analysis_review", "final_decision", "confidence", "cwe_id")
+
+
+def _numeric(name: str) -> Column:
+    shape, value = loose.kind(name), loose.text(name)
     return (
         F.when(shape == "BOOLEAN", (value == "true").cast("double"))
         .when(shape.isin("BIGINT", "DOUBLE", "FLOAT", "STRING") | F.startswith(shape, F.lit("DECIMAL")),
@@ -45,41 +48,42 @@ def _numeric(record: Column, name: str) -> Column:
     )
 
 
-def parse_response(content: Column) -> Column:
-    """Struct of the checked response.
+def parse_responses(answers: DataFrame, content: str = "content", out: str = "response") -> DataFrame:
+    """Replace the content by a struct of the checked response.
 
     Reasoning, decision and confidence are required; decision and review must be known values.
     Anything else falls back to BENIGN with confidence 0 and a short note.
     """
-    record = F.try_parse_json(unquote_booleans(content))
-    thought, review = loose.text(record, "thought_process"), loose.text(record, "static_analysis_review")
-    decision, confidence = loose.text(record, "final_decision"), _numeric(record, "confidence")
-    cwe_kind = loose.kind(record, "cwe_id")
-    review_missing = loose.field(record, "static_analysis_review").isNull()
+    rows = loose.pin(answers, {"_record": F.try_parse_json(unquote_booleans(F.col(content)))})
+    rows = loose.unpack(rows, "_record", *RESPONSE_FIELDS)
+    known = lambda name, values: F.coalesce(loose.text(name).isin(*values), F.lit(False))
     problem = (
-        F.when(content.isNull() | record.isNull(), F.lit("not valid JSON"))
-        .when(F.coalesce(loose.kind(record, "thought_process") != "STRING", F.lit(True)),
+        F.when(F.col("_record").isNull(), F.lit("not valid JSON"))
+        .when(F.coalesce(loose.kind("thought_process") != "STRING", F.lit(True)),
               F.lit("thought_process missing or no text"))
-        .when(~F.coalesce(decision.isin(*K.DECISIONS), F.lit(False)), F.lit("final_decision missing or unknown"))
-        .when(confidence.isNull(), F.lit("confidence missing or no number"))
-        .when(~review_missing & ~F.coalesce(review.isin(*K.REVIEWS), F.lit(False)),
+        .when(~known("final_decision", K.DECISIONS), F.lit("final_decision missing or unknown"))
+        .when(_numeric("confidence").isNull(), F.lit("confidence missing or no number"))
+        .when(~loose.missing("static_analysis_review") & ~known("static_analysis_review", K.REVIEWS),
               F.lit("static_analysis_review unknown"))
-        .when(cwe_kind.isNotNull() & ~cwe_kind.isin("STRING", "VOID"), F.lit("cwe_id is no text"))
+        .when(loose.kind("cwe_id").isNotNull() & ~loose.kind("cwe_id").isin("STRING", "VOID"),
+              F.lit("cwe_id is no text"))
     )
-    note = F.concat(F.lit("[SYSTEM FALLBACK] JSON Parse Failure: "), F.substring(problem, 1, 50), F.lit("..."))
-    bad = problem.isNotNull()
-    evidence = F.when(bad, F.create_map().cast("map<string,boolean>")).otherwise(evidence_map(record))
-    return F.struct(
+    rows = loose.pin(rows, {"_problem": problem, "_evidence": evidence_map(F.col("_record"))})
+    bad = F.col("_problem").isNotNull()
+    note = F.concat(F.lit("[SYSTEM FALLBACK] JSON Parse Failure: "), F.substring("_problem", 1, 50), F.lit("..."))
+    evidence = F.when(bad, F.create_map().cast("map<string,boolean>")).otherwise(F.col("_evidence"))
+    response = F.struct(
         (~bad).alias("valid"),
-        F.when(bad, note).otherwise(thought).alias("thought_process"),
-        F.when(bad, F.lit("UNCERTAIN")).otherwise(F.coalesce(review, F.lit("AGREE")))
-        .alias("static_analysis_review"),
+        F.when(bad, note).otherwise(loose.text("thought_process")).alias("thought_process"),
+        F.when(bad, F.lit("UNCERTAIN")).otherwise(
+            F.coalesce(loose.text("static_analysis_review"), F.lit("AGREE"))).alias("static_analysis_review"),
         evidence.alias("evidence"),
-        F.when(bad, F.lit("BENIGN")).otherwise(decision).alias("final_decision"),
-        F.when(bad, F.lit(0.0)).otherwise(clamp_confidence(confidence)).alias("confidence"),
-        F.when(bad, F.lit("Unknown")).otherwise(loose.text(record, "cwe_id")).alias("cwe_id"),
-        (F.size(evidence) > K.MANY_EVIDENCE_KEYS).alias("many_evidence"),
+        F.when(bad, F.lit("BENIGN")).otherwise(loose.text("final_decision")).alias("final_decision"),
+        F.when(bad, F.lit(0.0)).otherwise(clamp_confidence(_numeric("confidence"))).alias("confidence"),
+        F.when(bad, F.lit("Unknown")).otherwise(loose.text("cwe_id")).alias("cwe_id"),
+        (~bad & (F.size("_evidence") > K.MANY_EVIDENCE_KEYS)).alias("many_evidence"),
     )
+    return rows.select(*[c for c in answers.columns if c != content], response.alias(out))
 
 
 def _probabilities(logprobs: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from codewarden.functions import loose, text
 
 
-def _filled_text(record: Column, name: str) -> Column:
-    return F.when(loose.truthy(record, name), loose.text(record, name)).otherwise(F.lit(""))
+def _filled_text(name: str) -> Column:
+    return F.when(loose.truthy(name), loose.text(name)).otherwise(F.lit(""))
 
 
 def normalize_diversevul(records: DataFrame, record: str = "record") -> DataFrame:
@@ -15,63 +15,64 @@ def normalize_diversevul(records: DataFrame, record: str = "record") -> DataFram
 
     Records whose label is null or unreadable keep a null target; see `split_rejects`.
     """
-    r = F.col(record)
-    cwe = (
-        F.when(loose.is_list(r, "cwe") & loose.first_item(r, "cwe").isNotNull(), loose.first_item(r, "cwe"))
-        .otherwise(F.coalesce(loose.text(r, "cwe"), F.lit("None")))
-    )
-    return records.select(
+    first = loose.first_item("cwe")
+    cwe = F.when(loose.is_list("cwe") & first.isNotNull(), first).otherwise(
+        F.coalesce(loose.text("cwe"), F.lit("None")))
+    rows = loose.unpack(records, record, "func", "target", "cwe", "project", "commit_id", "hash", "size", "message")
+    return rows.select(
         *[c for c in records.columns if c != record],
-        _filled_text(r, "func").alias("func"),
-        loose.flag_label(r, "target").alias("target"),
+        _filled_text("func").alias("func"),
+        loose.flag_label("target").alias("target"),
         cwe.alias("cwe"),
-        loose.text(r, "project").alias("project"),
-        loose.text(r, "commit_id").alias("commit_id"),
+        loose.text("project").alias("project"),
+        loose.text("commit_id").alias("commit_id"),
         F.lit("diversevul").alias("dataset"),
-        loose.text(r, "hash").alias("hash"),
-        loose.whole_number(r, "size").alias("size"),
-        loose.text(r, "message").alias("message"),
-        r.alias("_raw"),
+        loose.text("hash").alias("hash"),
+        loose.whole_number("size").alias("size"),
+        loose.text("message").alias("message"),
+        F.col(record).alias("_raw"),
     )
 
 
 def normalize_vcl(records: DataFrame, record: str = "record") -> DataFrame:
-    r = F.col(record)
-    return records.select(
+    extra = ("name", "source", "sink", "reason")
+    rows = loose.unpack(records, record, "func", "label", "cwe_id", *extra)
+    return rows.select(
         *[c for c in records.columns if c != record],
-        _filled_text(r, "func").alias("func"),
-        loose.flag_label(r, "label").alias("target"),
-        text.cwe_from_digits(loose.text(r, "cwe_id")).alias("cwe"),
+        _filled_text("func").alias("func"),
+        loose.flag_label("label").alias("target"),
+        text.cwe_from_digits(loose.text("cwe_id")).alias("cwe"),
         F.lit("vcldata").alias("dataset"),
-        *[loose.text(r, name).alias(name) for name in ("name", "source", "sink", "reason")],
-        r.alias("_raw"),
+        *[loose.text(name).alias(name) for name in extra],
+        F.col(record).alias("_raw"),
     )
 
 
 def normalize_devign(records: DataFrame, record: str = "record") -> DataFrame:
     """Records without code or with an unreadable label are dropped."""
-    r = F.col(record)
-    missing = lambda name: loose.field(r, name).isNull()
-    out = records.where(loose.truthy(r, "func")).select(
+    def named(name: str) -> Column:
+        return F.when(loose.missing(name), F.lit("unknown")).otherwise(loose.text(name)).alias(name)
+
+    rows = loose.unpack(records, record, "func", "commit_id", "target", "project")
+    out = rows.where(loose.truthy("func")).select(
         *[c for c in records.columns if c != record],
-        F.when(missing("commit_id"), F.lit("unknown")).otherwise(loose.text(r, "commit_id")).alias("commit_id"),
-        loose.text(r, "func").alias("code"),
-        loose.whole_number_or_zero_if_missing(r, "target").alias("target"),
+        named("commit_id"),
+        loose.text("func").alias("code"),
+        loose.whole_number_or_zero_if_missing("target").alias("target"),
         F.lit("N/A").alias("cwe"),
-        F.when(missing("project"), F.lit("unknown")).otherwise(loose.text(r, "project")).alias("project"),
+        named("project"),
     )
     return out.where(F.col("target").isNotNull())
 
 
 def unpivot_fixes(records: DataFrame, record: str = "record") -> DataFrame:
     """One fix record gives up to two samples: the text before (1) and after (0) the fix."""
-    r = F.col(record)
-    raw_cwe = F.when(loose.field(r, "vul_type").isNull(), F.lit("N/A")).otherwise(
-        F.when(loose.truthy(r, "vul_type"), loose.scalar_or_first(r, "vul_type")))
+    raw_cwe = F.when(loose.missing("vul_type"), F.lit("N/A")).when(
+        loose.truthy("vul_type"), loose.scalar_or_first("vul_type"))
 
     def side(origin: str, name: str, target: int) -> Column:
         return F.struct(
-            F.when(loose.truthy(r, name), loose.text(r, name)).alias("func"),
+            F.when(loose.truthy(name), loose.text(name)).alias("func"),
             F.lit(target).cast("bigint").alias("target"),
             F.lit(origin).alias("origin_source"),
         )
@@ -80,11 +81,12 @@ def unpivot_fixes(records: DataFrame, record: str = "record") -> DataFrame:
         F.array(side("before", "func_src_before", 1), side("after", "func_src_after", 0)),
         lambda s: s["func"].isNotNull())
     kept = [c for c in records.columns if c != record]
-    return records.select(
+    rows = loose.unpack(records, record, "vul_type", "func_src_before", "func_src_after", "commit_link", "func_name")
+    return rows.select(
         *kept,
-        text.commit_id_from_link(loose.text(r, "commit_link")).alias("commit_id"),
+        text.commit_id_from_link(loose.text("commit_link")).alias("commit_id"),
         text.cwe_upper(raw_cwe).alias("cwe"),
-        F.coalesce(loose.text(r, "func_name"), F.lit("")).alias("func_name"),
+        F.coalesce(loose.text("func_name"), F.lit("")).alias("func_name"),
         F.explode(sides).alias("_side"),
     ).select(*kept, "commit_id", F.col("_side.func").alias("func"), F.col("_side.target").alias("target"),
              "cwe", "func_name", F.col("_side.origin_source").alias("origin_source"))
@@ -92,50 +94,54 @@ def unpivot_fixes(records: DataFrame, record: str = "record") -> DataFrame:
 
 def import_tasks(records: DataFrame, split: str, record: str = "record", index: str = "line_index") -> DataFrame:
     """Task rows; a null or unreadable label drops the record, a missing one counts as 0."""
-    r = F.col(record)
-    cwe_field = F.when(loose.truthy(r, "cwe"), loose.scalar_or_first(r, "cwe")).when(
-        loose.truthy(r, "cwe_id"), loose.scalar_or_first(r, "cwe_id"))
-    commit = F.coalesce(loose.truthy_text(r, "commit_id"), F.lit("unk"))
-    code = F.coalesce(loose.truthy_text(r, "func"), loose.text(r, "code"), F.lit(""))
-    return records.select(
+    cwe = F.coalesce(*[F.when(loose.truthy(n), loose.scalar_or_first(n)) for n in ("cwe", "cwe_id")])
+    commit = F.coalesce(loose.truthy_text("commit_id"), F.lit("unk"))
+    code = F.coalesce(loose.truthy_text("func"), loose.text("code"), F.lit(""))
+    rows = loose.unpack(records, record, "commit_id", "func", "code", "target", "cwe", "cwe_id")
+    return rows.select(
         text.task_name(F.lit(split), commit, F.col(index)).alias("name"),
         commit.alias("commit_id"),
         code.alias("code"),
-        loose.whole_number_or_zero_if_missing(r, "target").alias("ground_truth_label"),
-        F.coalesce(cwe_field, F.lit("N/A")).alias("cwe_id"),
+        loose.whole_number_or_zero_if_missing("target").alias("ground_truth_label"),
+        F.coalesce(cwe, F.lit("N/A")).alias("cwe_id"),
         F.lit("Pending").alias("status"),
         F.lit(split).alias("split"),
     ).where(F.col("ground_truth_label").isNotNull())
 
 
+def new_tasks(imported: DataFrame, stored: DataFrame) -> DataFrame:
+    """Imported tasks whose name is not stored yet, one per name."""
+    return imported.dropDuplicates(["name"]).join(stored.select("name"), "name", "left_anti")
+
+
 def kb_candidates(records: DataFrame, record: str = "record", file_name: str = "file_name",
                   index: str = "row_index") -> DataFrame:
     """Knowledge-base rows with a `skip` flag for records that cannot be imported."""
-    r = F.col(record)
-    # The first field that is present and not null decides, even when it cannot be read.
-    decided = F.coalesce(*[F.when(loose.kind(r, n) != "VOID", F.lit(n)) for n in ("target", "label", "vuln")])
-    label = (
-        F.when(decided == "target", loose.whole_number(r, "target"))
-        .when(decided == "label", loose.whole_number(r, "label"))
-        .when(decided == "vuln", loose.whole_number(r, "vuln"))
-    )
-    named = F.when(loose.truthy(r, "cwe_id"), F.lit("cwe_id")).when(loose.truthy(r, "cwe"), F.lit("cwe"))
+    rows = loose.unpack(records, record, "func", "code", "function", "target", "label", "vuln",
+                        "cwe_id", "cwe", "commit_id", "id")
+    labels = ("target", "label", "vuln")
+    # The first label field that is present and not null decides, even when it cannot be read.
+    label = F.lit(None).cast("bigint")
+    for name in reversed(labels):
+        label = F.when(loose.kind(name) != "VOID", loose.whole_number(name)).otherwise(label)
 
     def cwe_of(name: str) -> Column:
-        value = loose.text(r, name)
-        return F.when(loose.is_list(r, name), loose.first_item(r, name)).when(
+        value = loose.text(name)
+        return F.when(loose.is_list(name), loose.first_item(name)).when(
             ~F.lower(value).isin("nan", "null", "none"), value)
 
-    cwe = F.when(named == "cwe_id", cwe_of("cwe_id")).when(named == "cwe", cwe_of("cwe"))
-    code = loose.truthy_text(r, "func", "code", "function")
-    commit = loose.truthy_text(r, "commit_id", "id")
-    return records.select(
-        text.kb_key(F.col(file_name), F.col(index), commit).alias("original_id"),
-        code.alias("code"),
-        F.when(label == 1, F.lit("VULNERABLE")).otherwise(F.lit("BENIGN")).alias("label"),
-        F.coalesce(cwe, F.lit("N/A")).alias("cwe_id"),
-        F.col(file_name).alias("source_dataset"),
-        (code.isNull() | label.isNull()).alias("skip"),
+    rows = rows.select(
+        F.col(file_name).alias("source_dataset"), F.col(index).alias("_index"),
+        loose.truthy_text("func", "code", "function").alias("code"), label.alias("_label"),
+        loose.truthy_text("commit_id", "id").alias("_commit"),
+        F.when(loose.truthy("cwe_id"), cwe_of("cwe_id")).when(loose.truthy("cwe"), cwe_of("cwe")).alias("_cwe"))
+    return rows.select(
+        text.kb_key(F.col("source_dataset"), F.col("_index"), F.col("_commit")).alias("original_id"),
+        "code",
+        F.when(F.col("_label") == 1, F.lit("VULNERABLE")).otherwise(F.lit("BENIGN")).alias("label"),
+        F.coalesce("_cwe", F.lit("N/A")).alias("cwe_id"),
+        "source_dataset",
+        (F.col("code").isNull() | F.col("_label").isNull()).alias("skip"),
     )
 
 

@@ -51,12 +51,18 @@ def native_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.coalesce("llm_native_conf", F.lit(0.5)))
 
 
+def _answers(responses: DataFrame, number: int) -> DataFrame:
+    """Checked responses of one round with their certainty measures."""
+    rows = responses.where(F.col("round") == number).select(
+        F.col("task_id").alias("id"), "content", R.native_confidence(F.col("logprobs")).alias("_conf"),
+        R.entropy(F.col("logprobs")).alias("_ent"))
+    return R.parse_responses(rows)
+
+
 def _with_response(features: DataFrame, responses: DataFrame, number: int) -> DataFrame:
-    answer = responses.where(F.col("round") == number).select(
-        F.col("task_id").alias("id"), R.parse_response(F.col("content")).alias("response"),
-        R.native_confidence(F.col("logprobs")).alias("native_confidence"),
-        R.entropy(F.col("logprobs")).alias("feat_llm_uncertainty"))
-    return features.join(answer, "id", "left")
+    return features.join(_answers(responses, number).select(
+        "id", "response", F.col("_conf").alias("native_confidence"), F.col("_ent").alias("feat_llm_uncertainty")),
+        "id", "left")
 
 
 def _vector(rows: DataFrame) -> DataFrame:
@@ -99,9 +105,8 @@ def finalise(features: DataFrame, responses: DataFrame, scorer: Scorer = native_
     """
     first = score_round1(features, responses, scorer, weak_below)
     first = first.drop(*K.FEATURE_NAMES).withColumnRenamed("score", "first_score")
-    second = responses.where(F.col("round") == 2).select(
-        F.col("task_id").alias("id"), R.parse_response(F.col("content")).alias("_r2"),
-        R.native_confidence(F.col("logprobs")).alias("_conf2"), R.entropy(F.col("logprobs")).alias("_ent2"))
+    second = _answers(responses, 2).select(
+        "id", F.col("response").alias("_r2"), F.col("_conf").alias("_conf2"), F.col("_ent").alias("_ent2"))
     joined = first.join(second, "id", "left")
     used = F.col("reason").isNotNull() & F.col("_r2").isNotNull()
     merged = joined.withColumns({

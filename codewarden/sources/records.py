@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codewarden.functions.loose import pin
+
 LINES, ARRAY = "lines", "array"
 
 
@@ -13,7 +15,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
-    parsed = lines.where(F.trim("line") != "").withColumn("record", F.try_parse_json("line"))
+    parsed = pin(lines.where(F.trim("line") != ""), {"record": F.try_parse_json("line")})
     return parsed.where(F.col("record").isNotNull()), parsed.where(F.col("record").isNull()).drop("record")
 
 
@@ -74,7 +76,7 @@ def number_records(lines: DataFrame, parsed: Column) -> DataFrame:
     Two levels: counts per stretch of lines, then ranks inside a stretch, so a huge file is not
     ranked by one task.
     """
-    good = lines.withColumn("record", parsed).where(F.col("record").isNotNull()).withColumn(
+    good = pin(lines, {"record": parsed}).where(F.col("record").isNotNull()).withColumn(
         "_stretch", F.floor(F.col("line_index") / 100_000))
     counts = good.groupBy("file_name", "_stretch").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("file_name").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)

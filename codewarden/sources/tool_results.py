@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from codewarden.functions import loose
 from codewarden.functions.static_facts import empty_names
 
-SCHEMA = "filename string, success boolean, apis array<string>, complexity int, has_data_flow boolean, error string"
-
 
 def map_tool_results(rows: DataFrame) -> DataFrame:
     """One row of facts per task from (filename, apis, complexity, has_data_flow, error, pos).
@@ -29,11 +27,9 @@ def read_tool_results(spark: SparkSession, path: str) -> DataFrame:
     """Facts from result files, each a JSON list of rows."""
     whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("w"))
     items = whole.select(F.posexplode(F.try_variant_get("w", "$", "array<variant>")).alias("pos", "r"))
-    r = F.col("r")
-    rows = items.select(
-        "pos", loose.text(r, "filename").alias("filename"),
-        F.try_variant_get(r, "$.apis", "array<string>").alias("apis"),
-        loose.whole_number(r, "complexity").alias("complexity"),
-        loose.truthy(r, "has_data_flow").alias("has_data_flow"),
-        F.when(loose.field(r, "error").isNotNull(), F.lit("error")).alias("error"))
-    return map_tool_results(rows)
+    items = items.withColumn("apis", F.try_variant_get("r", "$.apis", "array<string>"))
+    items = loose.unpack(items, "r", "filename", "complexity", "has_data_flow", "error")
+    return map_tool_results(items.select(
+        "pos", "apis", loose.text("filename").alias("filename"), loose.whole_number("complexity").alias("complexity"),
+        loose.truthy("has_data_flow").alias("has_data_flow"),
+        F.when(~loose.missing("error"), F.lit("error")).alias("error")))

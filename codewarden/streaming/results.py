@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codewarden.operators.tables import latest_per_key
+from codewarden.operators.tables import latest_per_key, progress
 from codewarden.sources.store import read_table, write_partitions
 
 
@@ -45,18 +45,18 @@ def current_results(spark: SparkSession, log: str) -> DataFrame:
     return latest_per_key(rows.withColumn("_at", F.struct("batch_id", "seq")), "vuln_id", "_at").drop("_at")
 
 
-def start_progress(events: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Total and completed tasks per split, from (task_id, split, status, ts) events.
+def start_progress(events: DataFrame, log: str, checkpoint: str, drain: bool = False,
+                   interval: str = "2 seconds") -> StreamingQuery:
+    """Follow (task_id, split, status, ts) events; each micro-batch keeps one row per task."""
 
-    State is one row per task, the latest status; then one row per split.
-    """
-    latest = events.groupBy("split", "task_id").agg(F.max_by("status", "ts").alias("status"))
-    writer = latest.writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.start()
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = latest_per_key(batch, "task_id", "ts").withColumn("batch_id", F.lit(batch_id))
+        write_partitions(rows, log, "batch_id")
+
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)).start()
 
 
-def progress_view(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name).groupBy("split").agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "Success").alias("completed"))
+def progress_view(spark: SparkSession, log: str) -> DataFrame:
+    """Total and completed tasks per split, by the latest status of each task."""
+    return progress(latest_per_key(read_table(spark, log).drop("batch_id"), "task_id", "ts"))
