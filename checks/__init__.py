@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from checks import preparation
+    from checks import audit, preparation, scoring, search
 
-    return [preparation.R]
+    return [preparation.R, scoring.R, audit.R, search.R]

@@ -61,15 +61,38 @@ FROM {conversations} WHERE turn < 5"""
 DOC_TASKS = """
 SELECT doc_id AS id, concat('docs_', CAST(doc_id AS STRING)) AS name, text AS code FROM {documents}"""
 
+# Braces are written as chr(123) and chr(125): plain ones would be read as table names.
 CACHE = """
 SELECT concat('docs_', CAST(doc_id AS STRING)) AS task_name, CAST(quality + toxic AS INT) AS source_type,
        CASE WHEN doc_id % 9 = 0 THEN NULL
-            ELSE concat('[has_flow]:', CASE WHEN toxic = 1 THEN 'true' WHEN doc_id % 2 = 0 THEN 'null' ELSE 'false' END,
-                        ',[complexity]:', CASE WHEN doc_id % 7 = 0 THEN 'null' ELSE CAST(doc_id % 40 AS STRING) END,
-                        ',[apis]:', CASE WHEN doc_id % 5 = 0 THEN 'null' WHEN doc_id % 5 = 1 THEN '<>'
-                                         ELSE '<[open],[read]>' END) END AS packed
+            ELSE concat(chr(123), '"has_flow":', CASE WHEN toxic = 1 THEN 'true' WHEN doc_id % 2 = 0 THEN 'null' ELSE 'false' END,
+                        ',"complexity":', CASE WHEN doc_id % 7 = 0 THEN 'null' ELSE CAST(doc_id % 40 AS STRING) END,
+                        ',"apis":', CASE WHEN doc_id % 5 = 0 THEN 'null' WHEN doc_id % 5 = 1 THEN '[]'
+                                         ELSE '["open","read"]' END, chr(125)) END AS feature_json
 FROM {labels}"""
 
+RESPONSES = """
+SELECT doc_id AS task_id, 1 AS round, lang, doc_id % 7 AS a, n_chars % 5 AS b,
+  CASE doc_id % 10
+    WHEN 3 THEN concat('no json: ', lang)
+    WHEN 2 THEN concat(chr(123), '"thought_process":"', lang, '","confidence":0.9', chr(125))
+    WHEN 4 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":0.9,"static_analysis_review":"MAYBE"', chr(125))
+    WHEN 6 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":null', chr(125))
+    WHEN 9 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"MAYBE","confidence":0.9', chr(125))
+    WHEN 0 THEN concat(chr(123), '"thought_process":"', lang, '","static_analysis_review":"DISAGREE_LOGIC_FOUND","evidence":', chr(123),
+      '"a":true,"b":"TRUE","c":1,"d":null,"e":1.5,"f":"no","g":"true","h":[1],"i":0', chr(125), ',"final_decision":"VULNERABLE","confidence":85,"cwe_id":"CWE-1"', chr(125))
+    WHEN 1 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"BENIGN","confidence":"0.4","evidence":[]', chr(125))
+    WHEN 5 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":-0.2,"evidence":null,"cwe_id":"', source, '"', chr(125))
+    WHEN 7 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":1,"evidence":', chr(123),
+      '"a":1,"b":1,"c":1,"d":0,"e":1,"f":"false"', chr(125), chr(125))
+    ELSE concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":250,"cwe_id":null,"static_analysis_review":"AGREE"', chr(125)) END AS content
+FROM {documents} WHERE doc_id % 11 <> 5
+UNION ALL
+SELECT doc_id, 2, lang, doc_id % 5, 1,
+  CASE WHEN doc_id % 4 = 0 THEN concat(chr(123), '"thought_process":"again","final_decision":"VULNERABLE","confidence":0.8,"cwe_id":"CWE-2"', chr(125))
+       ELSE concat(chr(123), '"thought_process":"again","final_decision":"BENIGN","confidence":0.3', chr(125)) END
+FROM {documents} WHERE doc_id % 3 <> 1"""
+
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")

@@ -177,15 +177,13 @@ def bootstrap_by_counts(counts: DataFrame, rounds: int, seed: int, buckets: int
             return pd.DataFrame({"round": [], "score": [], "label": [], "n": []})
         right = right.sort_values(["score", "label"])
         weight = right["n"].to_numpy(dtype=float)
-        frames = []
-        for number, drawn in zip(left["round"], left["drawn"]):
-            rng = np.random.default_rng([seed, int(number), int(left["grp"].iloc[0]) + 1,
-                                         int(left["bucket"].iloc[0])])
-            hits = rng.multinomial(int(drawn), weight / weight.sum())
-            keep = hits > 0
-            frames.append(pd.DataFrame({"round": number, "score": right["score"].to_numpy()[keep],
-                                        "label": right["label"].to_numpy()[keep], "n": hits[keep]}))
-        return pd.concat(frames)
+        weight /= weight.sum()
+        place = [int(left["grp"].iloc[0]) + 1, int(left["bucket"].iloc[0])]
+        hits = np.stack([np.random.default_rng([seed, int(number), *place]).multinomial(int(drawn), weight)
+                         for number, drawn in zip(left["round"], left["drawn"])])
+        row, column = np.nonzero(hits)
+        return pd.DataFrame({"round": left["round"].to_numpy()[row], "score": right["score"].to_numpy()[column],
+                             "label": right["label"].to_numpy()[column], "n": hits[row, column]})
 
     drawn = per_bucket.groupBy("grp", "bucket").cogroup(placed.groupBy("grp", "bucket")).applyInPandas(
         draw_scores, "round int, score double, label int, n bigint")

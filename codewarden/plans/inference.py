@@ -78,7 +78,7 @@ def _vector(rows: DataFrame) -> DataFrame:
         "feat_conflict_disagreement": X.weighted_conflict(F.col("source_type"), F.col("has_flow"), decision),
         "feat_conflict_static_yes_llm_no": X.flow_but_benign(F.col("has_flow"), decision),
     })
-    return named.select(*named.columns, *X.feature_columns(online=True))
+    return named.withColumns(dict(zip(K.FEATURE_NAMES, X.feature_columns(online=True))))
 
 
 def score_round1(features: DataFrame, responses: DataFrame, scorer: Scorer = native_score,
@@ -104,7 +104,7 @@ def finalise(features: DataFrame, responses: DataFrame, scorer: Scorer = native_
     A task without a first response has status Failed and no result values.
     """
     first = score_round1(features, responses, scorer, weak_below)
-    first = first.drop(*K.FEATURE_NAMES).withColumnRenamed("score", "first_score")
+    first = first.withColumnRenamed("score", "first_score")
     second = _answers(responses, 2).select(
         "id", F.col("response").alias("_r2"), F.col("_conf").alias("_conf2"), F.col("_ent").alias("_ent2"))
     joined = first.join(second, "id", "left")
@@ -114,8 +114,7 @@ def finalise(features: DataFrame, responses: DataFrame, scorer: Scorer = native_
         "response": F.when(used, F.col("_r2")).otherwise(F.col("response")),
         "native_confidence": F.when(used, F.col("_conf2")).otherwise(F.col("native_confidence")),
         "feat_llm_uncertainty": F.when(used, F.col("_ent2")).otherwise(F.col("feat_llm_uncertainty")),
-    }).drop("_r2", "_conf2", "_ent2", "static_has_flow", "static_complexity",
-            *[c for c in first.columns if c.startswith("feat") and c != "feat_llm_uncertainty"])
+    }).drop("_r2", "_conf2", "_ent2")
     failed = F.col("response").isNull()
     scored = scorer(_vector(merged)).withColumn("failed", failed)
     decision = F.col("response.final_decision")
@@ -127,8 +126,9 @@ def finalise(features: DataFrame, responses: DataFrame, scorer: Scorer = native_
         decision.alias("final_decision"), F.col("response.cwe_id").alias("cwe_id"), "native_confidence",
         F.when(~failed, F.col("score")).alias("calibrated_confidence"), "first_score", "reason", "reflected",
         (F.col("reflected") & (decision == "VULNERABLE") & (F.col("native_confidence") < reliable_from))
-        .alias("unreliable"), "source_type",
-        "static_has_flow", "static_complexity", "feat_static_apis_count", "feat_static_risk_density",
+        .alias("unreliable"), F.col("source_type").cast("int").alias("source_type"),
+        F.col("has_flow").alias("static_has_flow"), F.col("complexity").alias("static_complexity"),
+        "feat_static_apis_count", "feat_static_risk_density",
         "feat_static_graph_density", "feat_static_source_type", "feat_code_len", "feat_is_compressed",
         "feature_rag_similarity", "feat_rag_top1_sim", "feat_rag_sim_variance", "feat_conflict_disagreement",
         "feat_conflict_static_yes_llm_no", "feat_llm_uncertainty")
