@@ -105,7 +105,7 @@ def p37(spark, folder):
 # --- static facts of tasks ---------------------------------------------------------------------
 
 TASKS = "SELECT page_id AS id, concat('page_', CAST(page_id AS STRING)) AS name, html AS code, CAST(floor(page_id / 8) AS BIGINT) AS batch FROM {pages}"
-DONE = "SELECT concat('page_', CAST(page_id AS STRING)) AS task_name FROM {pages} WHERE page_id % 6 = 0"
+DONE = "SELECT concat('page_', CAST(page_id AS STRING)) AS task_name FROM {pages} WHERE url LIKE '%.org%'"
 FACTS_SQL = f"""(SELECT task_id, coalesce(arg_max(coalesce(complexity, 0), pos), 0) AS complexity, arg_max(coalesce(has_data_flow, false), pos) AS flow,
   arg_max(CASE WHEN event_type = 'view' THEN [] ELSE [event_type] END, pos) AS apis
   FROM (SELECT *, CAST(regexp_extract(filename, '(\\d+)\\.c$', 1) AS BIGINT) AS task_id FROM ({B.sql(TOOL_ROWS)}) WHERE error IS NULL AND filename LIKE '%.c') GROUP BY task_id)"""
@@ -199,7 +199,6 @@ PARSED_SQL = f"""(SELECT task_id, round, k NOT IN (2, 3, 4, 6, 9) AS valid,
 @R.add("p27_p28_p29_f11_parse_responses", f"SELECT task_id, round, valid, thought_process, static_analysis_review, evidence, final_decision, confidence, cwe_id, many_evidence FROM {PARSED_SQL}")
 def p27(spark, folder):
     out = RS.parse_responses(responses(spark, folder).drop("logprobs"))
-    flags = F.array_sort(F.transform(F.map_entries("response.evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return out.select("task_id", "round", "response.*").withColumn(
         "evidence", F.array_join(F.array_sort(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ","))
 

@@ -56,7 +56,7 @@ HITS = """
 SELECT conv_id AS qid, CAST(turn + 1 AS INT) AS rank, concat('kb_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS original_id,
        CASE WHEN role = 'assistant' THEN 'VULNERABLE' ELSE 'BENIGN' END AS label,
        CAST((length(text) * 7 + turn) % 1000 AS DOUBLE) / 1000 AS similarity
-FROM {conversations} WHERE turn < 5"""
+FROM {conversations}"""
 
 DOC_TASKS = """
 SELECT doc_id AS id, concat('docs_', CAST(doc_id AS STRING)) AS name, text AS code FROM {documents}"""
@@ -86,12 +86,12 @@ SELECT doc_id AS task_id, 1 AS round, lang, doc_id % 7 AS a, n_chars % 5 AS b,
     WHEN 7 THEN concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":1,"evidence":', chr(123),
       '"a":1,"b":1,"c":1,"d":0,"e":1,"f":"false"', chr(125), chr(125))
     ELSE concat(chr(123), '"thought_process":"', lang, '","final_decision":"VULNERABLE","confidence":250,"cwe_id":null,"static_analysis_review":"AGREE"', chr(125)) END AS content
-FROM {documents} WHERE doc_id % 11 <> 5
+FROM {documents} WHERE lang <> 'es'
 UNION ALL
 SELECT doc_id, 2, lang, doc_id % 5, 1,
   CASE WHEN doc_id % 4 = 0 THEN concat(chr(123), '"thought_process":"again","final_decision":"VULNERABLE","confidence":0.8,"cwe_id":"CWE-2"', chr(125))
        ELSE concat(chr(123), '"thought_process":"again","final_decision":"BENIGN","confidence":0.3', chr(125)) END
-FROM {documents} WHERE doc_id % 3 <> 1"""
+FROM {documents} WHERE lang <> 'fr'"""
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:

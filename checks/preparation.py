@@ -325,7 +325,7 @@ def quota_sql(pool: str, n: str) -> str:
   SELECT cwe_key, project_key, n, total, quota, CASE WHEN total <= target_n THEN n ELSE least(n, quota) END AS take, target_n FROM (
     SELECT *, greatest(0, q0 + sign(delta) * (abs(delta) // strata + CASE WHEN place < abs(delta) % strata THEN 1 ELSE 0 END)) AS quota FROM (
       SELECT *, count(*) OVER () AS strata,
-        row_number() OVER (ORDER BY CASE WHEN delta > 0 THEN -n ELSE n END, cwe_key, project_key) - 1 AS place FROM (
+        row_number() OVER (ORDER BY CASE WHEN delta > 0 THEN -n ELSE n END, md5(cwe_key || '|' || project_key)) - 1 AS place FROM (
         SELECT *, target_n - sum(q0) OVER () AS delta FROM (
           SELECT *, CAST(round_even(CAST(n AS DOUBLE) / total * target_n, 0) AS BIGINT) AS q0 FROM (
             SELECT *, sum(n) OVER () AS total, {n} AS target_n FROM (
@@ -354,8 +354,7 @@ POS = f"SELECT * FROM ({S}) WHERE target = 1"
 SELECT cwe_key, project_key, n, CAST(quota AS BIGINT) AS quota, CAST(take AS BIGINT) AS take FROM {quota_sql(S, '(SELECT count(*) // 3 FROM labels)')}""")
 def a2(spark, folder):
     target = B.load(spark, folder, "labels").agg((F.floor(F.count("*") / 3)).cast("bigint").alias("target_n"))
-    sizes = G.stratum_sizes(samples(spark, folder)).join(F.broadcast(target), F.lit(True))
-    return G.stratum_quotas(sizes, F.col("target_n")).select("cwe_key", "project_key", "n", "quota", "take")
+    return G.stratum_quotas(G.stratum_sizes(samples(spark, folder)), target).select("cwe_key", "project_key", "n", "quota", "take")
 
 
 @R.add("g2_w5_j12_stratified_sample", f"SELECT id FROM {sample_sql(S, '120', '42')}")
@@ -388,7 +387,7 @@ def g3(spark, folder):
 
 
 @R.add("g4_balanced_kb", "\nUNION ALL ".join(
-    f"SELECT id, '{lang}' AS kb_source, CAST({label} AS BIGINT) AS target FROM {sample_sql(f'''SELECT * FROM ({S}) WHERE cwe = '{lang}' AND target = {label}''', str(size), f'42-{lang}')}"
+    f"SELECT id, '{lang}' AS kb_source, CAST({label} AS BIGINT) AS target FROM {sample_sql(f'''SELECT * FROM ({S}) WHERE cwe = '{lang}' AND target = {label}''', str(size), '42')}"
     for lang in ("en", "fr") for label, size in ((1, 15), (0, 40))))
 def g4(spark, folder):
     rows = samples(spark, folder)

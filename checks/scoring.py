@@ -76,7 +76,7 @@ SELECT l_orderkey AS vuln_id, CASE WHEN min(l_tax) < 0.03 THEN 'success' ELSE 'f
        round(max(l_tax), 2) AS native_confidence
 FROM {lineitem} WHERE l_returnflag = 'N' GROUP BY l_orderkey"""
 BQ = B.sql(BATCH)
-OLD = f"(SELECT vuln_id, final_decision, native_confidence FROM ({B.RESULTS}) WHERE vuln_id % 2 = 0)"
+OLD = f"(SELECT vuln_id, final_decision, native_confidence FROM ({B.RESULTS}) WHERE final_decision = 'VULNERABLE')"
 OQ = B.sql(OLD)
 
 

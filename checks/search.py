@@ -120,9 +120,7 @@ def a21t(spark, folder):
 
 @R.add("r5_postings", f"WITH {bm25_ctes(CORPUS, QUERIES)} SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens, max(tf) AS top FROM tok GROUP BY doc_id")
 def r5(spark, folder):
-    kb = documents(spark, folder).select("doc_id", F.col("text").alias("code"), F.array().cast("array<float>").alias("vec"))
-    kb = kb.where(F.length("code") <= 12000).unionByName(kb.where(F.length("code") > 12000))
-    rows = V.postings(V.tokenized(kb))
+    rows = V.postings(corpus_tokens(spark, folder))
     return rows.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("top"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions.features import finite, predicted
-from codewarden.operators.ordering import quantile_edges, running_totals, seeded_hash
+from codewarden.operators.ordering import running_totals, seeded_hash
 
 
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
@@ -139,38 +139,40 @@ def bootstrap_by_rows(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def bootstrap_by_counts(counts: DataFrame, rounds: int, seed: int, buckets: int = 64) -> DataFrame:
+SCORES_PER_BUCKET = 20_000
+
+
+def bootstrap_by_counts(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
     """Score counts per round, drawn as multinomials over the distinct scores.
 
     Same distribution as row draws, at a cost that follows the distinct scores, not the rows.  The
-    draw is made in two levels: first how many rows fall into each score bucket, then inside each
-    bucket; so no task ever holds all scores.
+    draw is made in two levels: first how many rows fall into each bucket of scores, then inside
+    each bucket.  Scores are spread over the buckets by hash, so no task holds more than a bucket.
     """
+    buckets = max(1, -(-counts.count() // SCORES_PER_BUCKET))
     per_class = counts.select("score", F.explode(F.array(
         F.struct(F.lit(1).alias("label"), F.col("pos").alias("n")),
         F.struct(F.lit(0).alias("label"), F.col("neg").alias("n")))).alias("c")).select(
         "score", "c.label", "c.n").where("n > 0")
     totals = counts.agg(F.sum("pos").alias("_p"))
-    edges = quantile_edges(counts, "score", buckets)
-    placed = per_class.join(F.broadcast(edges), F.lit(True)).join(F.broadcast(totals), F.lit(True)).select(
+    placed = per_class.join(F.broadcast(totals), F.lit(True)).select(
         "score", "label", "n", F.when(F.col("_p") > 5, F.col("label")).otherwise(F.lit(-1)).alias("grp"),
-        F.size(F.filter("_edges", lambda e: e < F.col("score"))).alias("bucket"))
+        F.pmod(F.xxhash64("score"), F.lit(buckets)).cast("int").alias("bucket"))
     sizes = placed.groupBy("grp", "bucket").agg(F.sum("n").alias("n"))
 
     def draw_buckets(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bucket")
         weight = part["n"].to_numpy(dtype=float)
-        frames = []
-        for number in range(1, rounds + 1):
-            rng = np.random.default_rng([seed, number, int(part["grp"].iloc[0]) + 1])
-            drawn = rng.multinomial(int(weight.sum()), weight / weight.sum())
-            frames.append(pd.DataFrame({"grp": part["grp"].to_numpy(), "bucket": part["bucket"].to_numpy(),
-                                        "round": number, "drawn": drawn}))
-        return pd.concat(frames)
-
-    # At most `buckets` rows per group here.
+        place = int(part["grp"].iloc[0]) + 1
+        drawn = np.stack([np.random.default_rng([seed, number, place]).multinomial(
+            int(weight.sum()), weight / weight.sum()) for number in range(1, rounds + 1)])
+        row, column = np.nonzero(drawn)
+        return pd.DataFrame({"grp": part["grp"].iloc[0], "bucket": part["bucket"].to_numpy()[column],
+                             "round": row + 1, "drawn": drawn[row, column]})
+
+    # One row per bucket and group here.
     per_bucket = sizes.groupBy("grp").applyInPandas(
-        draw_buckets, "grp int, bucket int, round int, drawn bigint").where("drawn > 0")
+        draw_buckets, "grp int, bucket int, round int, drawn bigint")
 
     def draw_scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty or left.empty:

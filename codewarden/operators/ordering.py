@@ -48,14 +48,20 @@ def quantile_edges(rows: DataFrame, column: str, buckets: int) -> DataFrame:
     return rows.agg(F.percentile_approx(column, shares, F.lit(max(1000, 10 * buckets))).alias("_edges"))
 
 
+def bucket_count(rows: DataFrame) -> int:
+    """As many ordered buckets as the cluster has shuffle tasks, within 32 and 512."""
+    return max(32, min(512, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def running_totals(rows: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                   descending: bool = True, buckets: int = 64) -> DataFrame:
+                   descending: bool = True, buckets: int | None = None) -> DataFrame:
     """Add `run_<c>`: the sum of c up to and including this row, within the keys.
 
     `rows` must hold each (keys, order) once, so quantile edges give even buckets and the largest
     window holds about 1/buckets of a group.
     """
     keys = list(keys)
+    buckets = buckets or bucket_count(rows)
     edges = quantile_edges(rows, order, buckets)
     placed = rows.join(F.broadcast(edges), F.lit(True)).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")

@@ -41,29 +41,39 @@ def stratum_sizes(samples: DataFrame, cwe: str = "cwe", project: str = "project"
         *groups, "cwe_key", "project_key").agg(F.count("*").alias("n"))
 
 
-def stratum_quotas(sizes: DataFrame, target: Column | int, groups: Sequence[str] = ()) -> DataFrame:
+def stratum_quotas(sizes: DataFrame, targets: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """How many rows to take per stratum (`quota`, `take`).
 
-    Shares are rounded half to even; the difference to `target` goes round-robin over the strata,
-    largest first when rows are missing, smallest first when there are too many, and never below
-    zero.  If all rows fit, all are taken.  Runs on the table of strata only.
+    `targets` holds `target_n`, one row per group (one row in all without groups).  Shares are
+    rounded half to even.  The roundings miss the target by less than the number of strata, so the
+    correction is one row each for the first strata in order: largest first when rows are missing,
+    smallest first when there are too many, equal sizes by hash; never below zero.  If all rows fit,
+    all are taken.  The order is found from the counts per stratum size, so the strata, too, may be
+    many.
     """
     groups = list(groups)
-    every = Window.partitionBy(*groups)
-    n = target if isinstance(target, Column) else F.lit(target)
-    base = sizes.withColumns({"target_n": n, "total": F.sum("n").over(every)})
-    base = base.withColumn("q0", F.bround(F.col("n") / F.col("total") * F.col("target_n")).cast("bigint"))
-    base = base.withColumn("delta", F.col("target_n") - F.sum("q0").over(every))
-    signed = F.when(F.col("delta") > 0, -F.col("n")).otherwise(F.col("n"))
-    place = Window.partitionBy(*groups).orderBy(signed, "cwe_key", "project_key")
-    base = base.withColumns({"strata": F.count("*").over(every), "place": F.row_number().over(place) - 1})
-    rounds = F.floor(F.abs("delta") / F.col("strata"))
-    extra = F.when(F.col("place") < F.abs("delta") % F.col("strata"), 1).otherwise(0)
-    quota = F.greatest(F.lit(0).cast("bigint"), F.col("q0") + F.signum("delta").cast("bigint") * (rounds + extra))
-    base = base.withColumn("quota", quota)
+
+    def per_group(rows: DataFrame, small: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(small), groups if groups else F.lit(True))
+
+    keyed = per_group(sizes, targets.select(*groups, F.col("target_n").cast("bigint"))).withColumn(
+        "_stratum", F.md5(F.concat_ws("|", "cwe_key", "project_key")))
+    base = per_group(keyed, sizes.groupBy(*groups).agg(F.sum("n").alias("total"))).withColumn(
+        "q0", F.bround(F.col("n") / F.col("total") * F.col("target_n")).cast("bigint"))
+    miss = base.groupBy(*groups).agg((F.max("target_n") - F.sum("q0")).alias("delta"))
+    # One row per distinct stratum size.
+    per_size = per_group(base.groupBy(*groups, "n").agg(F.count("*").alias("_k")), miss)
+    before = Window.partitionBy(*groups).orderBy(
+        F.when(F.col("delta") > 0, -F.col("n")).otherwise(F.col("n"))).rowsBetween(Window.unboundedPreceding, -1)
+    per_size = per_size.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    room = F.greatest(F.lit(0), F.least(F.col("_k"), F.abs("delta") - F.col("_before")))
+    cut = per_size.select(*groups, "n", room.alias("take")).where("take > 0")
+    moved = lowest_hashes(base, [*groups, "n"], cut, "_stratum", "_stratum")
+    step = per_group(moved, miss).select(*groups, "_stratum", F.signum("delta").cast("bigint").alias("_step"))
+    quota = F.greatest(F.lit(0).cast("bigint"), F.col("q0") + F.coalesce("_step", F.lit(0)))
     take = F.when(F.col("total") <= F.col("target_n"), F.col("n")).otherwise(F.least("n", "quota"))
-    return base.select(*groups, "cwe_key", "project_key", "n", "total", "target_n", "quota",
-                       take.cast("bigint").alias("take"))
+    return base.join(step, [*groups, "_stratum"], "left").withColumn("quota", quota).select(
+        *groups, "cwe_key", "project_key", "n", "total", "target_n", "quota", take.cast("bigint").alias("take"))
 
 
 def _content(columns: Sequence[str]) -> Column:
@@ -82,42 +92,52 @@ def exclude_by_content(rows: DataFrame, taken: DataFrame, columns: Sequence[str]
     return rows.withColumn("_content", _content(columns)).join(known, "_content", "left_anti").drop("_content")
 
 
-def _pick(rows: DataFrame, ids: DataFrame, row_id: str, bound: int | None) -> DataFrame:
-    wanted = ids.select(row_id)
-    if bound is not None and bound <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, row_id, "left_semi")
-
+def stratified_sample_by(samples: DataFrame, groups: Sequence[str], targets: DataFrame, seed: int | str, row_id: str,
+                         content: Sequence[str], cwe: str = "cwe", project: str = "project",
+                         at_most: int | None = None) -> DataFrame:
+    """Stratified samples of many groups in one go, `target_n` rows for each group of `targets`.
 
-def _sampled_ids(samples: DataFrame, sizes: DataFrame, target: Column | int, seed: int | str, row_id: str,
-                 content: Sequence[str], cwe: str, project: str) -> DataFrame:
-    """Ids of the sample.  Works on (id, strata, digest, hash) only, never on whole rows."""
-    strata = ["cwe_key", "project_key"]
-    keyed = samples.select(row_id, *stratum_columns(cwe, project), _content(content).alias("_content"),
+    About proportional over the (cwe, project) strata of the group.  Rows missing after the quotas
+    are filled from what is left, copies of chosen rows excepted; a surplus is cut by hash order.
+    All ranking is done on (group, id, strata, digest, hash); whole rows are touched once, by the
+    final semi-join.  `at_most` bounds the sample, so a small one can be broadcast.
+    """
+    groups, strata = list(groups), ["cwe_key", "project_key"]
+    key = [*groups, row_id]
+    keyed = samples.select(*key, *stratum_columns(cwe, project), _content(content).alias("_content"),
                            seeded_hash(seed, F.col(row_id)).alias("_hash"))
-    quotas = stratum_quotas(sizes, target)
-    first = lowest_hashes(keyed, strata, quotas.select(*strata, "take"), row_id, "_hash").select(row_id)
-    # Used three times below; at most about `target` narrow rows, so it is written out once.
-    first = cut_lineage(keyed.join(first, row_id, "left_semi").select(row_id, "_content", "_hash"))
-    balance = quotas.agg(F.sum("take").alias("_taken"), F.max("target_n").cast("bigint").alias("_target"))
-    short = balance.select(F.greatest(F.col("_target") - F.col("_taken"), F.lit(0)).alias("take"))
-    left = keyed.join(first.select("_content").distinct(), "_content", "left_anti")
-    top_up = lowest_hashes(left, [], short, row_id, "_hash").select(row_id)
-    kept = lowest_hashes(first, [], balance.select(F.col("_target").alias("take")), row_id, "_hash").select(row_id)
-    return cut_lineage(kept.unionByName(top_up))
+    # One row per stratum, read three times.
+    quotas = cut_lineage(stratum_quotas(stratum_sizes(samples, cwe, project, groups), targets, groups))
+    first = lowest_hashes(keyed, [*groups, *strata], quotas.select(*groups, *strata, "take"), row_id, "_hash")
+    # About as many narrow rows as the sample will have, read three times.
+    first = cut_lineage(keyed.join(first.select(*key), key, "left_semi").select(*key, "_content", "_hash"))
+    balance = quotas.groupBy(*groups).agg(F.sum("take").alias("_taken"), F.max("target_n").alias("_target"))
+    short = balance.select(*groups, F.greatest(F.col("_target") - F.col("_taken"), F.lit(0)).alias("take"))
+    left = keyed.join(first.select(*groups, "_content").distinct(), [*groups, "_content"], "left_anti")
+    top_up = lowest_hashes(left, groups, short.where("take > 0"), row_id, "_hash").select(*key)
+    kept = lowest_hashes(first, groups, balance.select(*groups, F.col("_target").alias("take")), row_id, "_hash")
+    ids = cut_lineage(kept.select(*key).unionByName(top_up))  # the sample's keys: later steps build on them
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return samples.join(ids, key, "left_semi")
+
+
+def _one_target(rows: DataFrame, n: int) -> DataFrame:
+    return rows.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("target_n"))
 
 
 def stratified_sample(samples: DataFrame, target: int, seed: int | str, row_id: str, content: Sequence[str],
                       cwe: str = "cwe", project: str = "project") -> DataFrame:
-    """About proportional sample of `target` rows over the (cwe, project) strata.
-
-    Rows missing after the quotas are filled from what is left, copies of chosen rows excepted; a
-    surplus is cut by hash order.  Whole rows are touched once, by the final semi-join.
-    """
+    """Stratified sample of `target` rows; see `stratified_sample_by`."""
     if target <= 0:
         return samples.limit(0)
-    ids = _sampled_ids(samples, stratum_sizes(samples, cwe, project), target, seed, row_id, content, cwe, project)
-    return _pick(samples, ids, row_id, target)
+    return stratified_sample_by(samples, [], _one_target(samples, target), seed, row_id, content, cwe, project, target)
+
+
+def _targets(rows: DataFrame, column: str, sizes: dict[int, int]) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(label).alias(column), F.lit(n).cast("bigint").alias("target_n"))
+                                for label, n in sizes.items()]))
+    return rows.sparkSession.range(1).select(pairs.alias("p")).select("p.*")
 
 
 def calibration_sets(samples: DataFrame, sizes: dict[str, int], seed: int | str, row_id: str,
@@ -127,30 +147,27 @@ def calibration_sets(samples: DataFrame, sizes: dict[str, int], seed: int | str,
     `sizes` holds train_pos, train_neg, val_pos and val_neg.  Validation rows come from what is
     left of each label once the training rows and their copies are gone.  Adds `part`.
     """
-    parts = []
-    for label, name in ((1, "pos"), (0, "neg")):
-        pool = samples.where(F.col(target) == label)
-        train = stratified_sample(pool, sizes[f"train_{name}"], f"{seed}-train", row_id, content)
-        rest = exclude_by_content(pool, train, content, sizes[f"train_{name}"])
-        val = stratified_sample(rest, sizes[f"val_{name}"], f"{seed}-val", row_id, content)
-        parts += [train.withColumn("part", F.lit("train")), val.withColumn("part", F.lit("val"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def draw(pool: DataFrame, part: str) -> DataFrame:
+        wanted = {1: sizes[f"{part}_pos"], 0: sizes[f"{part}_neg"]}
+        return stratified_sample_by(pool, [target], _targets(pool, target, wanted), f"{seed}-{part}", row_id, content,
+                                    at_most=sum(wanted.values()))
+
+    train = draw(samples, "train")
+    rest = exclude_by_content(samples, train, content, sizes["train_pos"] + sizes["train_neg"])
+    return train.withColumn("part", F.lit("train")).unionByName(draw(rest, "val").withColumn("part", F.lit("val")))
 
 
 def balanced_kb(sources: dict[str, DataFrame], pos: int, neg: int, seed: int | str, row_id: str,
                 content: Sequence[str], target: str = "target") -> DataFrame:
-    """Per source, `pos` and `neg` stratified samples; the union is the knowledge base."""
-    out = None
+    """Per source, `pos` and `neg` stratified samples; their union, `kb_source` added, is the knowledge base."""
+    every = None
     for name, samples in sources.items():
-        for label, size in ((1, pos), (0, neg)):
-            pool = samples.where(F.col(target) == label)
-            part = stratified_sample(pool, size, f"{seed}-{name}", row_id, content).withColumn(
-                "kb_source", F.lit(name))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+        part = samples.withColumn("kb_source", F.lit(name))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    names = F.explode(F.array(*[F.lit(name) for name in sources]))
+    targets = _targets(every, target, {1: pos, 0: neg}).select(names.alias("kb_source"), target, "target_n")
+    return stratified_sample_by(every, ["kb_source", target], targets, seed, row_id, content,
+                                at_most=len(sources) * (pos + neg))
 
 
 def sample_report(samples: DataFrame, *by: str) -> DataFrame:
@@ -164,11 +181,10 @@ def evaluation_set(samples: DataFrame, size: int, seed: int | str, row_id: str,
     The room for negatives is a column, so nothing is counted on the driver.
     """
     positives = samples.where(F.col(target) == 1)
-    negatives = samples.where(F.col(target) == 0)
-    room = positives.agg(F.greatest(F.lit(size) - F.count("*"), F.lit(0)).cast("bigint").alias("room"))
-    sizes = stratum_sizes(negatives, cwe, project).join(F.broadcast(room), F.lit(True))
-    ids = _sampled_ids(negatives, sizes, F.col("room"), seed, row_id, content, cwe, project)
-    return positives.unionByName(_pick(negatives, ids, row_id, size))
+    room = positives.agg(F.greatest(F.lit(size) - F.count("*"), F.lit(0)).cast("bigint").alias("target_n"))
+    negatives = stratified_sample_by(samples.where(F.col(target) == 0), [], room, seed, row_id, content, cwe, project,
+                                     at_most=size)
+    return positives.unionByName(negatives)
 
 
 def stratified_holdout(rows: DataFrame, label: str, row_id: str, share: float, seed: int | str) -> DataFrame:

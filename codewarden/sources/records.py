@@ -86,28 +86,35 @@ def number_records(lines: DataFrame, parsed: Column) -> DataFrame:
         "row_index", F.col("_base") + F.col("_rank")).drop("_stretch", "_rank", "_base")
 
 
-def file_kinds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_path, kind): a file whose first visible character is `[` is one list, else it holds lines.
+def file_kinds(spark: SparkSession, patterns: list[str]) -> dict[str, str]:
+    """Kind of every matching file: one whose first visible character is `[` is a list, else lines.
 
-    Reads only the first split of each file that has one.
+    Opens each file for a few bytes, next to the listing any read makes; no data is scanned.
     """
-    heads = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), F.substring(F.ltrim("value"), 1, 1).alias("mark")
-    ).where(F.col("mark") != "")
-    first = heads.groupBy("file_path").agg(F.min_by("mark", F.struct("start", "id")).alias("mark"))
-    return first.select("file_path", F.when(F.col("mark") == "[", F.lit(ARRAY)).otherwise(F.lit(LINES)).alias("kind"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    kinds = {}
+    for pattern in patterns:
+        path = hadoop.Path(pattern)
+        files = path.getFileSystem(conf)
+        for status in files.globStatus(path) or []:
+            stream = files.open(status.getPath())
+            mark = stream.read()
+            while mark in (9, 10, 11, 12, 13, 32):
+                mark = stream.read()
+            stream.close()
+            kinds[status.getPath().toString()] = ARRAY if mark == ord("[") else LINES
+    return kinds
 
 
 def read_kb_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, row_index, record) from every *.json and *.jsonl file of one folder.
 
-    The list of files is all that reaches the driver.  A malformed list gives no rows.
+    A malformed list gives no rows.
     """
-    paths = [f"{folder}/*.json", f"{folder}/*.jsonl"]
-    kinds = file_kinds(spark, paths).collect()
-    arrays = [r["file_path"] for r in kinds if r["kind"] == ARRAY]
-    lines = [r["file_path"] for r in kinds if r["kind"] == LINES]
+    kinds = file_kinds(spark, [f"{folder}/*.json", f"{folder}/*.jsonl"])
+    arrays = [path for path, kind in kinds.items() if kind == ARRAY]
+    lines = [path for path, kind in kinds.items() if kind == LINES]
     parts = []
     if arrays:
         parts.append(_explode_items(_array_items(spark, arrays)).withColumn(

@@ -2,14 +2,14 @@
 
 A micro-batch becomes one partition of an append-only log, keyed by batch id: writing a batch twice
 replaces it, so a restart from the checkpoint leaves no duplicates.  Readers take the latest row per
-key; `compact` folds the log into the keyed result table.
+key; `fold_log` brings the log into the keyed tables.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codewarden.operators.tables import latest_per_key, progress
+from codewarden.operators.tables import latest_per_key, progress, write_results
 from codewarden.sources.store import read_table, write_partitions
 
 
@@ -39,10 +39,20 @@ def start_writer(results: DataFrame, log: str, dead_letters: str, checkpoint: st
     return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)).start()
 
 
+def latest_outcomes(log: DataFrame) -> DataFrame:
+    """Latest row per task of the log; order within a batch is by `seq`."""
+    rows = log.withColumn("_at", F.struct("batch_id", "seq"))
+    return latest_per_key(rows, "vuln_id", "_at").drop("_at")
+
+
 def current_results(spark: SparkSession, log: str) -> DataFrame:
-    """Latest row per task; order within a batch is by `seq`."""
-    rows = read_table(spark, log)
-    return latest_per_key(rows.withColumn("_at", F.struct("batch_id", "seq")), "vuln_id", "_at").drop("_at")
+    """Results as the log has them now: a task whose last outcome is a failure has none."""
+    return latest_outcomes(read_table(spark, log)).where(F.col("outcome") == "success")
+
+
+def fold_log(tasks: DataFrame, results: DataFrame, log: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Task and result tables with the log folded in; folding the same log again changes nothing."""
+    return write_results(tasks, results, latest_outcomes(log), payload)
 
 
 def start_progress(events: DataFrame, log: str, checkpoint: str, drain: bool = False,
