@@ -26,10 +26,6 @@ def vectors(spark, folder, name):
     return B.load(spark, folder, "embeddings").select(F.col("vec_id").alias(name), F.col("embedding").alias("vec"))
 
 
-def rounded(hits):
-    return hits.withColumn("score", F.round("score", 6))
-
-
 # --- dense -------------------------------------------------------------------------------------
 
 def dense_sql(k: int, extra: str = "q.vec_id <> c.vec_id") -> str:
@@ -38,15 +34,15 @@ def dense_sql(k: int, extra: str = "q.vec_id <> c.vec_id") -> str:
   FROM embeddings q, embeddings c WHERE {extra}) WHERE rank <= {k})"""
 
 
-@R.add("r1_j8_t1_w1_dense_topk", f"SELECT qid, doc_id, rank, round(score, 6) AS score FROM {dense_sql(30)}")
+@R.add("r1_j8_t1_w1_dense_topk", f"SELECT qid, doc_id, rank, score FROM {dense_sql(30)}")
 def r1(spark, folder):
-    return rounded(V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True))
+    return V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True)
 
 
-@R.add("r1_dense_topk_grid", f"SELECT qid, doc_id, rank, round(score, 6) AS score FROM {dense_sql(30)}")
+@R.add("r1_dense_topk_grid", f"SELECT qid, doc_id, rank, score FROM {dense_sql(30)}")
 def r1g(spark, folder):
     limits = V.GridLimits(broadcast_rows=0, query_block_rows=200, corpus_block_rows=150)
-    return rounded(V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True, limits=limits))
+    return V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True, limits=limits)
 
 
 @R.add("f7_w4_gate", f"SELECT qid, doc_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM {dense_sql(30)}) WHERE best >= 0.40")
@@ -125,16 +121,16 @@ def r5(spark, folder):
 
 
 @R.add("r2_j9_t2_bm25_topk", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
-SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
+SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2(spark, folder):
-    return rounded(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder)))
+    return V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder))
 
 
 @R.add("r2_bm25_topk_grid", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
-SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
+SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2g(spark, folder):
     limits = V.GridLimits(broadcast_rows=0, query_block_rows=30, corpus_block_rows=300)
-    return rounded(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder), limits=limits))
+    return V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder), limits=limits)
 
 
 LEAK = "md5(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
@@ -195,19 +191,19 @@ def r3(spark, folder):
 
 
 @R.add("r4_t4_j5_hybrid_search", f"""WITH {hybrid_ctes(gate=PARITY_GATE)}
-SELECT qid, hit AS rank, doc_id, original_id, label, cwe_id, round(coalesce(similarity, 0.5), 6) AS similarity, round(rrf, 9) AS rrf FROM final""")
+SELECT qid, hit AS rank, doc_id, original_id, label, cwe_id, coalesce(similarity, 0.5) AS similarity, round(rrf, 9) AS rrf FROM final""")
 def r4(spark, folder):
     kb = kb_frame(spark, folder)
     hits = V.hybrid_search(kb.select(F.col("doc_id").alias("qid"), "code", "vec"), kb)
-    return hits.withColumns({"similarity": F.round("similarity", 6), "rrf": F.round("rrf", 9)})
+    return hits.withColumn("rrf", F.round("rrf", 9))
 
 
 @R.add("r4_gate_after_leak", f"""WITH {hybrid_ctes(gate=LEAK_GATE)}
-SELECT qid, hit AS rank, doc_id, round(coalesce(similarity, 0.5), 6) AS similarity FROM final""")
+SELECT qid, hit AS rank, doc_id, coalesce(similarity, 0.5) AS similarity FROM final""")
 def r4g(spark, folder):
     kb = kb_frame(spark, folder)
     hits = V.hybrid_search(kb.select(F.col("doc_id").alias("qid"), "code", "vec"), kb, threshold=0.40, gate_after_leak=True)
-    return hits.select("qid", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
+    return hits.select("qid", "rank", "doc_id", "similarity")
 
 
 @R.add("a20_kb_tables_agree", f"SELECT count(*) AS rows_left, count(*) AS rows_right, count(*) AS ids_left, count(*) AS ids_right, true AS intact FROM ({KB_SQL})")
