@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import bind as B
 from codewarden.functions import text as T
-from codewarden.functions.loose import pin
+from codewarden.functions.once import pin
 from codewarden.operators import normalize as N
 from codewarden.operators import sampling as G
 from codewarden.operators.ordering import seeded_hash

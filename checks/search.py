@@ -8,7 +8,7 @@ from checks import bind as B
 from checks import scoring
 from codewarden.functions import features as X
 from codewarden.functions.constants import FEATURE_NAMES
-from codewarden.functions.text import clip_for_embedding, is_blank, query_words, unit_vector
+from codewarden.functions.text import clip_for_embedding, is_blank, unit_vector
 from codewarden.operators import retrieval as V
 from codewarden.operators import tables as T
 from codewarden.plans import calibration as C
@@ -101,7 +101,7 @@ def corpus_tokens(spark, folder):
 
 
 def benchmark_queries(spark, folder):
-    return B.load(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), query_words(F.col("text")).alias("tokens"))
+    return V.asked_words(B.load(spark, folder, "benchmark"), "item_id", "text")
 
 
 @R.add("a21_corpus_stats", f"WITH {bm25_ctes(CORPUS, QUERIES)} SELECT count(*) AS docs, round(avg(dl), 6) AS mean_dl FROM len")
@@ -185,8 +185,7 @@ def r3(spark, folder):
     kb = kb_frame(spark, folder)
     asked = kb.select(F.col("doc_id").alias("qid"), "code", "vec")
     dense = V.gate(V.dense_topk(asked, kb, 30))
-    squeezed = V.compress(F.col("code"))
-    sparse = V.bm25_topk(asked.select("qid", query_words(squeezed).alias("tokens")), V.tokenized(kb.select("doc_id", squeezed.alias("code"))))
+    sparse = V.bm25_topk(V.asked_words(V.shortened(asked, "qid")), V.tokenized(V.shortened(kb, "doc_id")))
     return V.fused_topk(V.fuse(dense, sparse), 15).select("qid", "doc_id", "rank", F.round("rrf", 9).alias("rrf"))
 
 

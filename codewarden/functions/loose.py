@@ -7,19 +7,10 @@ a NULL kind, a JSON null the kind VOID: the two differ in several importers.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codewarden.functions.once import pin
 from codewarden.functions.text import strip
 
 
-def pin(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    A later filter on them is not pushed below their definition, which would copy it and, for a
-    parsed record, parse every row again for each mention.
-    """
-    values = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return rows.withColumn("_pin", F.explode(F.array(values))).select(*rows.columns, "_pin.*")
-
-
 def unpack(records: DataFrame, record: str, *names: str) -> DataFrame:
     """Add one struct per field: its kind, its text and, for a list, the first item's text."""
     r = F.col(record)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
 from codewarden.functions import loose
+from codewarden.functions.once import pin
 
 
 def unquote_booleans(content: Column) -> Column:
@@ -54,7 +55,7 @@ def parse_responses(answers: DataFrame, content: str = "content", out: str = "re
     Reasoning, decision and confidence are required; decision and review must be known values.
     Anything else falls back to BENIGN with confidence 0 and a short note.
     """
-    rows = loose.pin(answers, {"_record": F.try_parse_json(unquote_booleans(F.col(content)))})
+    rows = pin(answers, {"_record": F.try_parse_json(unquote_booleans(F.col(content)))})
     rows = loose.unpack(rows, "_record", *RESPONSE_FIELDS)
     known = lambda name, values: F.coalesce(loose.text(name).isin(*values), F.lit(False))
     problem = (
@@ -68,7 +69,7 @@ def parse_responses(answers: DataFrame, content: str = "content", out: str = "re
         .when(loose.kind("cwe_id").isNotNull() & ~loose.kind("cwe_id").isin("STRING", "VOID"),
               F.lit("cwe_id is no text"))
     )
-    rows = loose.pin(rows, {"_problem": problem, "_evidence": evidence_map(F.col("_record"))})
+    rows = pin(rows, {"_problem": problem, "_evidence": evidence_map(F.col("_record"))})
     bad = F.col("_problem").isNotNull()
     note = F.concat(F.lit("[SYSTEM FALLBACK] JSON Parse Failure: "), F.substring("_problem", 1, 50), F.lit("..."))
     evidence = F.when(bad, F.create_map().cast("map<string,boolean>")).otherwise(F.col("_evidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
+from codewarden.functions.once import let
 
 NO_NAMES = "array<string>"
 
@@ -93,15 +94,16 @@ def strip_comments(code: Column) -> Column:
 
 def compress(code: Column, limit: int = K.LONG_CODE_CHARS) -> Column:
     """Shorten text over `limit`: comments go first, then the middle is cut out."""
-    bare = strip_comments(code)
     half = limit // 2
 
-    def cut(mark: str) -> Column:
+    def cut(bare: Column, mark: str) -> Column:
         return F.concat(F.substring(bare, 1, half), F.lit(mark), F.right(bare, F.lit(half)))
 
-    shortened = (
-        F.when(F.length(bare) <= limit, bare)
-        .when(F.length(bare) > limit + K.CUT_ALLOWANCE, cut(K.HARD_CUT_MARK))
-        .otherwise(cut(K.SOFT_CUT_MARK))
-    )
-    return F.when(is_long(code, limit), shortened).otherwise(code)
+    def shorten(bare: Column) -> Column:
+        return (
+            F.when(F.length(bare) <= limit, bare)
+            .when(F.length(bare) > limit + K.CUT_ALLOWANCE, cut(bare, K.HARD_CUT_MARK))
+            .otherwise(cut(bare, K.SOFT_CUT_MARK))
+        )
+
+    return F.when(is_long(code, limit), let(strip_comments(code), shorten)).otherwise(code)

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codewarden.functions.constants import WHITESPACE
+from codewarden.functions.once import let
 
 _SPACES = "[" + WHITESPACE + "]+"
 
@@ -20,8 +21,7 @@ def words(text: Column) -> Column:
 
 def query_words(text: Column) -> Column:
     """`words`, with one placeholder for a blank query."""
-    tokens = words(text)
-    return F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("void")))
+    return let(words(text), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("void"))))
 
 
 def none_if_empty(text: Column) -> Column:
@@ -110,4 +110,4 @@ def unit_vector(vector: Column, tiny: float = 1e-10) -> Column:
     """Scale to length one; vectors of (nearly) no length stay as they are."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > tiny, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+    return let(norm, lambda n: F.when(n > tiny, F.transform(wide, lambda x: x / n)).otherwise(wide))

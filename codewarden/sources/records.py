@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codewarden.functions.loose import pin
+from codewarden.functions.once import pin
 
 LINES, ARRAY = "lines", "array"
 
