@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions.features import finite, predicted
 from codewarden.operators.ordering import running_totals, seeded_hash
+from codewarden.session import cut_lineage
 
 
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
@@ -71,8 +72,6 @@ def precision_recall(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall when predicting positive at or above each distinct score."""
     by = list(by)
     curve = running_totals(counts, by, "score", ["pos", "neg"], descending=True)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
-    curve = curve.join(totals, by) if by else curve.join(F.broadcast(totals), F.lit(True))
     return curve.select(
         *by, F.col("score").alias("threshold"), F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"),
         ratio_or_zero(F.col("run_pos"), F.col("run_pos") + F.col("run_neg")).alias("precision"),
@@ -194,15 +193,18 @@ def bootstrap_by_counts(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
 
 
-def bootstrap_thresholds(scored: DataFrame, label: str, score: str, rounds: int = 100, seed: int = 42,
-                         method: str = "counts") -> DataFrame:
-    """Best-F1 threshold of every round."""
-    counts = score_counts(scored, label, score)
+def _round_thresholds(counts: DataFrame, rounds: int, seed: int, method: str) -> DataFrame:
     draw = {"rows": bootstrap_by_rows, "counts": bootstrap_by_counts}[method]
     return best_f1(precision_recall(draw(counts, rounds, seed), ["round"]), ["round"]).select(
         "round", "threshold", "f1")
 
 
+def bootstrap_thresholds(scored: DataFrame, label: str, score: str, rounds: int = 100, seed: int = 42,
+                         method: str = "counts") -> DataFrame:
+    """Best-F1 threshold of every round."""
+    return _round_thresholds(cut_lineage(score_counts(scored, label, score)), rounds, seed, method)
+
+
 def threshold_summary(thresholds: DataFrame) -> DataFrame:
     """Mean, population deviation and the 95 % interval of the bootstrap thresholds."""
     return thresholds.agg(
@@ -215,8 +217,9 @@ def threshold_summary(thresholds: DataFrame) -> DataFrame:
 def bootstrap_threshold(scored: DataFrame, label: str, score: str, rounds: int = 100, seed: int = 42,
                         method: str = "counts") -> DataFrame:
     """Robust threshold and how it does on the full data; one row."""
-    summary = threshold_summary(bootstrap_thresholds(scored, label, score, rounds, seed, method))
-    counts = score_counts(scored, label, score).join(F.broadcast(summary), F.lit(True))
+    counts = cut_lineage(score_counts(scored, label, score))  # the rows are read once, for all rounds
+    summary = threshold_summary(_round_thresholds(counts, rounds, seed, method))
+    counts = counts.join(F.broadcast(summary), F.lit(True))
     at = predicted(F.col("score"), F.col("threshold"))
     zero = F.lit(0).cast("bigint")
     full = counts.groupBy("rounds", "threshold", "deviation", "ci_low", "ci_high").agg(
@@ -235,11 +238,9 @@ def exact_quantiles(rows: DataFrame, column: str, shares: dict[str, float]) -> D
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(
         F.count("*").alias("n"))
     ranked = running_totals(counts, [], "value", ["n"], descending=False)
-    total = counts.agg(F.sum("n").alias("_total"))
-    ranked = ranked.join(F.broadcast(total), F.lit(True))
     ends = []
     for name, share in shares.items():
-        place = (F.col("_total") - 1) * F.lit(share)
+        place = (F.col("all_n") - 1) * F.lit(share)
         ends += [F.min(F.when(F.col("run_n") > F.floor(place), F.col("value"))).alias(f"_lo_{name}"),
                  F.min(F.when(F.col("run_n") > F.ceil(place), F.col("value"))).alias(f"_hi_{name}"),
                  F.max(place - F.floor(place)).alias(f"_at_{name}")]

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codewarden.session import cut_lineage
+
 HASH_PREFIX = 3  # hex digits: 4096 buckets per group
 
 
@@ -42,10 +44,11 @@ def lowest_hashes(rows: DataFrame, keys: Sequence[str], quotas: DataFrame, row_i
     return whole.unionByName(partial)
 
 
-def quantile_edges(rows: DataFrame, column: str, buckets: int) -> DataFrame:
-    """One row with the ordered inner bucket edges of a numeric column."""
+def quantile_edges(rows: DataFrame, column: str, buckets: int) -> list[float]:
+    """The ordered inner bucket edges of a numeric column: fewer than `buckets` numbers."""
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return rows.agg(F.percentile_approx(column, shares, F.lit(max(1000, 10 * buckets))).alias("_edges"))
+    edges = rows.agg(F.percentile_approx(column, shares, F.lit(max(1000, 10 * buckets)))).first()[0]
+    return sorted(set(edges or []))
 
 
 def bucket_count(rows: DataFrame) -> int:
@@ -55,24 +58,28 @@ def bucket_count(rows: DataFrame) -> int:
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
                    descending: bool = True, buckets: int | None = None) -> DataFrame:
-    """Add `run_<c>`: the sum of c up to and including this row, within the keys.
+    """Add `run_<c>`, the sum of c up to and including this row, and `all_<c>`, the sum over the keys.
 
     `rows` must hold each (keys, order) once, so quantile edges give even buckets and the largest
-    window holds about 1/buckets of a group.
+    window holds about 1/buckets of a group.  The rows are read three times, so they are written out
+    first: they are the counts of much larger data.
     """
     keys = list(keys)
     buckets = buckets or bucket_count(rows)
-    edges = quantile_edges(rows, order, buckets)
-    placed = rows.join(F.broadcast(edges), F.lit(True)).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    rows = cut_lineage(rows)
+    edges = F.array(*[F.lit(float(e)) for e in quantile_edges(rows, order, buckets)]).cast("array<double>")
+    placed = rows.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col(order))))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     within = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy(direction("_bucket")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    # At most `buckets` rows per group from here to the join.
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    offsets = totals.select(*keys, "_bucket", *[
-        F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums])
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_bucket",
+        *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.sum(f"_sum_{c}").over(every).alias(f"all_{c}") for c in sums])
     local = placed.withColumns({f"_run_{c}": F.sum(c).over(within) for c in sums})
     joined = local.join(offsets, [*keys, "_bucket"])
     return joined.withColumns({f"run_{c}": F.col(f"_run_{c}") + F.col(f"_off_{c}") for c in sums}).drop(
