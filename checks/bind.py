@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codewarden.session import spread_small
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -94,8 +96,13 @@ SELECT doc_id, 2, lang, doc_id % 5, 1,
 FROM {documents} WHERE lang <> 'fr'"""
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A given table.  Small text tables, which are one file split, are spread over the cores."""
+    rows = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread_small(rows, TEXT_KEYS[table]) if table in TEXT_KEYS else rows
 
 
 def _used(text: str) -> list[str]:

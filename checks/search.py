@@ -19,7 +19,7 @@ R = B.Registry()
 
 
 def documents(spark, folder):
-    return spread_small(B.load(spark, folder, "documents"), "doc_id")
+    return B.load(spark, folder, "documents")
 
 
 def vectors(spark, folder, name):

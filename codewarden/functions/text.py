@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from codewarden.functions.constants import WHITESPACE
 from codewarden.functions.once import let
 
-_SPACES = "[" + WHITESPACE + "]+"
-
-
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides; linear in the text, unlike an anchored regex."""
     return F.trim(text, F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:
-    """Split on white space, without the empty first or last piece."""
-    return F.filter(F.split(text, _SPACES), lambda w: w != "")
+    """Split on runs of white space, without empty pieces.
+
+    All white space becomes a blank first: splitting on one plain character needs no regex.
+    """
+    blanks = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.array_remove(F.split(blanks, " "), "")
 
 
 def query_words(text: Column) -> Column:

@@ -103,15 +103,16 @@ def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 60,
         raise ValueError(f"at least {MIN_TRAINING_ROWS} rows are needed")
     split = stratified_holdout(rows, label, row_id, 0.2, seed)
     split = guardrail(split, fit_on=split.where("NOT is_val") if fit_guardrail_on_train else None)
-    split = cut_lineage(split)  # read by every boosting round
+    split = cut_lineage(split)
     train = split.where("NOT is_val")
     moments = cut_lineage(column_moments(train))
     ready = balanced_weights(standardise(split, moments), label).withColumn("label", F.col(label).cast("double"))
     assembler, pca = fit_pca(ready.where("NOT is_val"), components)
+    ready = cut_lineage(pca.transform(assembler.transform(ready)).select("pca", "label", "weight", "is_val"))
     trees = GBTClassifier(
         featuresCol="pca", labelCol="label", weightCol="weight", validationIndicatorCol="is_val", maxIter=rounds,
         stepSize=0.03, maxDepth=5, seed=seed)
-    fitted = trees.fit(pca.transform(assembler.transform(ready)))
+    fitted = trees.fit(ready)
     calibrator = Calibrator(moments, PipelineModel([assembler, pca, fitted]))
     held = cut_lineage(calibrator.score(split.where("is_val")).select(label, "score"))
     curve = metrics.precision_recall(metrics.score_counts(held, label, "score"))
