@@ -29,6 +29,9 @@ _REBUTTAL = (
 )
 
 
+SHORTEST_HIT = len("[Ref: | Sim:0%] \n")
+
+
 def evidence_text(source_type: Column, has_flow: Column) -> Column:
     return (
         F.when((source_type == K.SOURCE_DATAFLOW) & has_flow, F.lit(K.EVIDENCE_CONFIRMED))

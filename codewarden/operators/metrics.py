@@ -19,18 +19,27 @@ def ratio_or_zero(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def confusion_columns(label: Column, prediction: Column) -> list[Column]:
+def _count(condition: Column, weight: Column | None) -> Column:
+    """Rows that meet the condition, or the sum of their weights for rows that stand for many."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0)).cast("bigint")
+
+
+def confusion_columns(label: Column, prediction: Column, weight: Column | None = None) -> list[Column]:
     """Always four counts, also when only one class is present."""
     return [
-        F.count_if((label == 0) & (prediction == 0)).alias("tn"),
-        F.count_if((label == 0) & (prediction == 1)).alias("fp"),
-        F.count_if((label == 1) & (prediction == 0)).alias("fn"),
-        F.count_if((label == 1) & (prediction == 1)).alias("tp"),
+        _count((label == 0) & (prediction == 0), weight).alias("tn"),
+        _count((label == 0) & (prediction == 1), weight).alias("fp"),
+        _count((label == 1) & (prediction == 0), weight).alias("fn"),
+        _count((label == 1) & (prediction == 1), weight).alias("tp"),
     ]
 
 
-def confusion(scored: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    return scored.groupBy(*by).agg(*confusion_columns(F.col(label), F.col(prediction)))
+def confusion(scored: DataFrame, label: str, prediction: str, by: Sequence[str] = (),
+              weight: str | None = None) -> DataFrame:
+    w = None if weight is None else F.col(weight)
+    return scored.groupBy(*by).agg(*confusion_columns(F.col(label), F.col(prediction), w))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -261,22 +270,25 @@ def true_positives(scored: DataFrame, label: str, decision: str, confidence: str
     return scored.where((F.col(label) == 1) & (F.col(decision) == "VULNERABLE") & F.col(confidence).isNotNull())
 
 
-def top_groups(scored: DataFrame, label: str, group: str, raw: str, calibrated: str, k: int = 10) -> DataFrame:
+def top_groups(scored: DataFrame, label: str, group: str, raw: str, calibrated: str, k: int = 10,
+               weight: str | None = None) -> DataFrame:
     """The `k` groups with most positives, with the recall of both predictions."""
+    w = None if weight is None else F.col(weight)
+    n = _count(F.lit(True), w)
+    recall = lambda c: _count(F.col(c) == 1, w) / n
     return scored.where(F.col(label) == 1).groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(F.col(raw).cast("double")).alias("raw_recall"),
-        F.avg(F.col(calibrated).cast("double")).alias("calibrated_recall"),
+        n.alias("n"), recall(raw).alias("raw_recall"), recall(calibrated).alias("calibrated_recall"),
     ).orderBy(F.desc("n"), group).limit(k)
 
 
-def comparison(scored: DataFrame, label: str, raw: str, calibrated: str) -> DataFrame:
+def comparison(scored: DataFrame, label: str, raw: str, calibrated: str, weight: str | None = None) -> DataFrame:
     """One row per metric: baseline, calibrated and their difference.  One pass over the rows."""
     pairs = F.explode(F.array(
         F.struct(F.lit("baseline").alias("side"), F.col(raw).alias("prediction")),
         F.struct(F.lit("calibrated").alias("side"), F.col(calibrated).alias("prediction")))).alias("p")
-    rates = with_rates(confusion(scored.select(F.col(label).alias("label"), pairs).select("label", "p.*"),
-                                 "label", "prediction", ["side"]))
-    names = ["accuracy", "precision", "recall", "f1"]
-    long = rates.unpivot("side", names, "metric", "value")
+    kept = [F.col(label).alias("label")] + ([] if weight is None else [F.col(weight).alias("weight")])
+    sides = scored.select(*kept, pairs).select(*[c for c in ("label", "weight")[:len(kept)]], "p.*")
+    rates = with_rates(confusion(sides, "label", "prediction", ["side"], None if weight is None else "weight"))
+    long = rates.unpivot("side", ["accuracy", "precision", "recall", "f1"], "metric", "value")
     wide = long.groupBy("metric").pivot("side", ["baseline", "calibrated"]).agg(F.first("value"))
     return wide.withColumn("delta", F.col("calibrated") - F.col("baseline"))

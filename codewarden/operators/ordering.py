@@ -23,8 +23,8 @@ def lowest_hashes(rows: DataFrame, keys: Sequence[str], quotas: DataFrame, row_i
     """Per group, the `take` rows of lowest hash, as (keys, row_id).
 
     `quotas` holds one row per group with a `take` column (no keys: a single row).  The hash is
-    uniform, so its first digits cut each group into even buckets.  Buckets wholly below the cut
-    are taken as they are; only the bucket at the cut is ranked.
+    uniform, so its first digits cut each group into even buckets.  Buckets beyond the cut are
+    dropped by a join on the bucket counts; ranks are only needed inside a bucket.
     """
     keys = list(keys)
     narrow = rows.select(*keys, row_id, order, F.substring(order, 1, HASH_PREFIX).alias("_bucket"))
@@ -34,14 +34,10 @@ def lowest_hashes(rows: DataFrame, keys: Sequence[str], quotas: DataFrame, row_i
     # A quota table without keys is a single row.
     cuts = cuts.join(quotas, keys) if keys else cuts.join(F.broadcast(quotas), F.lit(True))
     cuts = cuts.where(F.col("_before") < F.col("take")).select(
-        *keys, "_bucket", (F.col("take") - F.col("_before")).alias("_left"),
-        (F.col("_before") + F.col("_n") <= F.col("take")).alias("_whole"))
-    near = narrow.join(cuts, [*keys, "_bucket"])
-    whole = near.where("_whole").select(*keys, row_id)
+        *keys, "_bucket", (F.col("take") - F.col("_before")).alias("_left"))
     rank = Window.partitionBy(*keys, "_bucket").orderBy(order, row_id)
-    partial = near.where("NOT _whole").withColumn("_rank", F.row_number().over(rank)).where(
-        F.col("_rank") <= F.col("_left")).select(*keys, row_id)
-    return whole.unionByName(partial)
+    near = narrow.join(cuts, [*keys, "_bucket"]).withColumn("_rank", F.row_number().over(rank))
+    return near.where(F.col("_rank") <= F.col("_left")).select(*keys, row_id)
 
 
 def quantile_edges(rows: DataFrame, column: str, buckets: int) -> list[float]:

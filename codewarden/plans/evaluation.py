@@ -7,6 +7,7 @@ from codewarden.functions import features as X
 from codewarden.functions.constants import DEFAULT_THRESHOLD
 from codewarden.operators import metrics
 from codewarden.operators.tables import in_split
+from codewarden.session import cut_lineage
 
 
 def finished(tasks: DataFrame, results: DataFrame, split: str, parity_like: bool = False) -> DataFrame:
@@ -26,29 +27,38 @@ def scored_rows(joined: DataFrame, threshold: float | None) -> DataFrame:
         X.cwe_or_other(F.col("task_cwe")).alias("cwe"))
 
 
+def outcome_counts(rows: DataFrame) -> DataFrame:
+    """Rows counted by label, both predictions and group: all that the tables below need."""
+    return cut_lineage(rows.groupBy("label", "raw_pred", "cal_pred", "cwe").agg(F.count("*").alias("rows")))
+
+
 def evaluate(tasks: DataFrame, results: DataFrame, split: str, threshold: float | None = None) -> dict[str, DataFrame]:
-    """Comparison table, AUC, confusion matrix and group breakdown of one split."""
-    rows = scored_rows(finished(tasks, results, split), threshold)
+    """Comparison table, AUC, confusion matrix and group breakdown of one split.
+
+    The joined rows are read twice: once for the counts, once for the scores.
+    """
+    return _reports(scored_rows(finished(tasks, results, split), threshold))
+
+
+def _reports(rows: DataFrame) -> dict[str, DataFrame]:
+    counts = outcome_counts(rows)
     return {
-        "comparison": metrics.comparison(rows, "label", "raw_pred", "cal_pred"),
+        "comparison": metrics.comparison(counts, "label", "raw_pred", "cal_pred", "rows"),
         "auc": metrics.roc_auc(rows, "label", "score"),
-        "confusion": metrics.confusion(rows, "label", "cal_pred"),
-        "groups": metrics.top_groups(rows, "label", "cwe", "raw_pred", "cal_pred"),
+        "confusion": metrics.confusion(counts, "label", "cal_pred", weight="rows"),
+        "groups": metrics.top_groups(counts, "label", "cwe", "raw_pred", "cal_pred", weight="rows"),
     }
 
 
 def evaluation_report(rows: DataFrame) -> DataFrame:
     """All figures of one evaluation as (section, item, baseline, calibrated)."""
-    table = metrics.comparison(rows, "label", "raw_pred", "cal_pred").select(
-        F.lit("metric").alias("section"), F.col("metric").alias("item"), "baseline", "calibrated")
-    auc = metrics.roc_auc(rows, "label", "score").select(
-        F.lit("metric").alias("section"), F.lit("auc").alias("item"),
-        F.lit(None).cast("double").alias("baseline"), F.col("auc").alias("calibrated"))
-    matrix = metrics.confusion(rows, "label", "cal_pred").unpivot(
-        [], ["tn", "fp", "fn", "tp"], "item", "calibrated").select(
-        F.lit("confusion").alias("section"), "item", F.lit(None).cast("double").alias("baseline"),
-        F.col("calibrated").cast("double"))
-    groups = metrics.top_groups(rows, "label", "cwe", "raw_pred", "cal_pred").select(
+    tables = _reports(rows)
+    nothing = F.lit(None).cast("double").alias("baseline")
+    table = tables["comparison"].select(F.lit("metric").alias("section"), F.col("metric").alias("item"), "baseline", "calibrated")
+    auc = tables["auc"].select(F.lit("metric").alias("section"), F.lit("auc").alias("item"), nothing, F.col("auc").alias("calibrated"))
+    matrix = tables["confusion"].unpivot([], ["tn", "fp", "fn", "tp"], "item", "calibrated").select(
+        F.lit("confusion").alias("section"), "item", nothing, F.col("calibrated").cast("double"))
+    groups = tables["groups"].select(
         F.lit("group").alias("section"), F.concat_ws(":", "cwe", F.col("n").cast("string")).alias("item"),
         F.col("raw_recall").alias("baseline"), F.col("calibrated_recall").alias("calibrated"))
     return table.unionByName(auc).unionByName(matrix).unionByName(groups)

@@ -5,7 +5,7 @@ Responses arrive as a table (task_id, round, content, logprobs), whatever produc
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
@@ -23,8 +23,10 @@ Scorer = Callable[[DataFrame], DataFrame]
 def task_features(tasks: DataFrame, cache: DataFrame, hits: DataFrame) -> DataFrame:
     """Tasks with static facts, text features and retrieval statistics; the hits as one small array."""
     stats = hit_stats(tasks.select(F.col("id").alias("qid")), hits).withColumnRenamed("qid", "id")
-    # At most top_k hits per task.
-    listed = hits.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(
+    # A hit takes a line of at least SHORTEST_HIT characters, so later ones cannot reach the text.
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    shown = hits.withColumn("_place", place).where(F.col("_place") <= K.RETRIEVED_TEXT_CHARS // P.SHORTEST_HIT + 1)
+    listed = shown.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(
         F.struct("rank", "original_id", "label", "similarity"))).alias("hits"))
     rows = decode_features(with_static_cache(tasks, cache))
     rows = rows.join(stats, "id").join(listed, "id", "left")
