@@ -52,6 +52,7 @@ def stratum_quotas(sizes: DataFrame, targets: DataFrame, groups: Sequence[str] =
     many.
     """
     groups = list(groups)
+    sizes = cut_lineage(sizes)  # counts of the whole data, read several times below
 
     def per_group(rows: DataFrame, small: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(small), groups if groups else F.lit(True))
@@ -99,24 +100,31 @@ def stratified_sample_by(samples: DataFrame, groups: Sequence[str], targets: Dat
 
     About proportional over the (cwe, project) strata of the group.  Rows missing after the quotas
     are filled from what is left, copies of chosen rows excepted; a surplus is cut by hash order.
-    All ranking is done on (group, id, strata, digest, hash); whole rows are touched once, by the
-    final semi-join.  `at_most` bounds the sample, so a small one can be broadcast.
+    All ranking is done on (group, id, strata, hash); whole rows are touched by the final semi-join.
+    `at_most` bounds the sample, so a small one can be broadcast.
     """
     groups, strata = list(groups), ["cwe_key", "project_key"]
     key = [*groups, row_id]
-    keyed = samples.select(*key, *stratum_columns(cwe, project), _content(content).alias("_content"),
-                           seeded_hash(seed, F.col(row_id)).alias("_hash"))
-    # One row per stratum, read three times.
+    keyed = samples.select(*key, *stratum_columns(cwe, project), seeded_hash(seed, F.col(row_id)).alias("_hash"))
     quotas = cut_lineage(stratum_quotas(stratum_sizes(samples, cwe, project, groups), targets, groups))
     first = lowest_hashes(keyed, [*groups, *strata], quotas.select(*groups, *strata, "take"), row_id, "_hash")
-    # About as many narrow rows as the sample will have, read three times.
-    first = cut_lineage(keyed.join(first.select(*key), key, "left_semi").select(*key, "_content", "_hash"))
-    balance = quotas.groupBy(*groups).agg(F.sum("take").alias("_taken"), F.max("target_n").alias("_target"))
-    short = balance.select(*groups, F.greatest(F.col("_target") - F.col("_taken"), F.lit(0)).alias("take"))
-    left = keyed.join(first.select(*groups, "_content").distinct(), [*groups, "_content"], "left_anti")
-    top_up = lowest_hashes(left, groups, short.where("take > 0"), row_id, "_hash").select(*key)
-    kept = lowest_hashes(first, groups, balance.select(*groups, F.col("_target").alias("take")), row_id, "_hash")
-    ids = cut_lineage(kept.select(*key).unionByName(top_up))  # the sample's keys: later steps build on them
+    ids = cut_lineage(first.select(*key))
+    balance = quotas.groupBy(*groups).agg(
+        F.sum("take").alias("_taken"), F.max("target_n").alias("_target"), F.max("total").alias("_total"))
+    balance = balance.select(*groups, "_target", F.greatest(F.lit(0), F.least("_target", "_total") - F.col("_taken"))
+                             .alias("_short"), (F.col("_taken") - F.col("_target")).alias("_over"))
+    # One row per group is looked at; most samples need neither step, and then no text is digested.
+    gap = balance.agg(F.max("_short").alias("short"), F.max("_over").alias("over")).first()
+    if gap["short"]:
+        chosen = samples.join(ids, key, "left_semi").select(*groups, _content(content).alias("_content")).distinct()
+        left = samples.join(ids, key, "left_anti").withColumn("_content", _content(content)).join(
+            chosen, [*groups, "_content"], "left_anti").withColumn("_hash", seeded_hash(seed, F.col(row_id)))
+        wanted = balance.where("_short > 0").select(*groups, F.col("_short").alias("take"))
+        ids = cut_lineage(ids.unionByName(lowest_hashes(left, groups, wanted, row_id, "_hash").select(*key)))
+    if gap["over"] and gap["over"] > 0:
+        ranked = ids.withColumn("_hash", seeded_hash(seed, F.col(row_id)))
+        limit = balance.select(*groups, F.col("_target").alias("take"))
+        ids = cut_lineage(lowest_hashes(ranked, groups, limit, row_id, "_hash").select(*key))
     if at_most is not None and at_most <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return samples.join(ids, key, "left_semi")
