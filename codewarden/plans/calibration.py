@@ -111,7 +111,7 @@ def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 60,
     ready = cut_lineage(pca.transform(assembler.transform(ready)).select("pca", "label", "weight", "is_val"))
     trees = GBTClassifier(
         featuresCol="pca", labelCol="label", weightCol="weight", validationIndicatorCol="is_val", maxIter=rounds,
-        stepSize=0.03, maxDepth=5, seed=seed)
+        stepSize=0.03, maxDepth=6, seed=seed)
     fitted = trees.fit(ready)
     calibrator = Calibrator(moments, PipelineModel([assembler, pca, fitted]))
     held = cut_lineage(calibrator.score(split.where("is_val")).select(label, "score"))
