@@ -55,6 +55,15 @@ def p17c(spark, folder):
     return pages(spark, folder).select("page_id", F.array_join(S.names_used(code, NAMES, calls_only=True), ",").alias("names"))
 
 
+MIXED = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, 'href', 'href (') ELSE html END AS code FROM {pages}"
+CALLED = used_sql('code', after='\\s*[(]')
+
+
+@R.add("p17_calls_else_words", f"SELECT page_id, array_to_string(CASE WHEN len({CALLED}) > 0 THEN {CALLED} ELSE {used_sql('code')} END, ',') AS names FROM ({B.sql(MIXED)})")
+def p17m(spark, folder):
+    return B.bind(spark, folder, MIXED).select("page_id", F.array_join(S.scan_names(F.col("code"), NAMES), ",").alias("names"))
+
+
 @R.add("p17_api_names_in_documents", "SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '" + WORD + "+')), lambda w: list_contains(["
        + ", ".join(f"'{n}'" for n in K.LEXICAL_API_NAMES) + "], w))), ',') AS names FROM documents")
 def p17d(spark, folder):

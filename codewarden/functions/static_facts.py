@@ -38,6 +38,12 @@ def names_used(code: Column, names: Sequence[str] = K.LEXICAL_API_NAMES, calls_o
     return F.array_sort(F.coalesce(hits, empty_names()))
 
 
+def scan_names(code: Column, names: Sequence[str] = K.LEXICAL_API_NAMES) -> Column:
+    """Names that are called; where there is no such call, names that occur at all."""
+    return let(names_used(code, names, calls_only=True),
+               lambda called: F.when(F.size(called) > 0, called).otherwise(names_used(code, names)))
+
+
 def sinks_called(calls: Column, sinks: Sequence[str] = K.TOOL_SINK_NAMES) -> Column:
     """Distinct called names that contain any sink name as a substring."""
     known = F.array(*[F.lit(s) for s in sinks])

@@ -11,15 +11,17 @@ FEATURE_SCHEMA = "has_flow boolean, complexity int, apis array<string>"
 
 
 def fuse_facts(tasks: DataFrame, facts: DataFrame, task_id: str = "id", code: str = "code",
-               names=K.LEXICAL_API_NAMES) -> DataFrame:
+               names=K.LEXICAL_API_NAMES, calls_first: bool = False) -> DataFrame:
     """Tasks with has_data_flow, complexity, apis, source_type, analysis_mode and lexical_hit.
 
     `facts` is one row per task the tool could analyse.  A task without one falls back to the
-    lexical scan: no data flow is claimed for it.
+    lexical scan: no data flow is claimed for it.  With `calls_first` a name that is merely
+    mentioned counts only in texts without any call of a listed name.
     """
+    scan = S.scan_names if calls_first else S.names_used
     tool = facts.select(F.col("task_id").alias(task_id), F.col("complexity").alias("_complexity"),
                         F.col("has_data_flow").alias("_flow"), F.col("apis").alias("_apis"), F.lit(True).alias("_ok"))
-    joined = tasks.join(tool, task_id, "left").withColumn("_lexical", S.names_used(F.col(code), names))
+    joined = tasks.join(tool, task_id, "left").withColumn("_lexical", scan(F.col(code), names))
     ok = F.coalesce("_ok", F.lit(False))
     return joined.select(
         *tasks.columns,

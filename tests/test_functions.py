@@ -93,6 +93,11 @@ def test_names_used_whole_words_and_calls(spark):
     assert values(spark, [code], "c string", S.names_used(F.col("c"), calls_only=True)) == [["fread", "memcpy"]]
 
 
+def test_scan_prefers_calls(spark):
+    got = values(spark, ["memcpy(a); /* free */", "no call, but free is named", "nothing"], "c string", S.scan_names(F.col("c")))
+    assert got == [["memcpy"], ["free"], []]
+
+
 def test_sinks_match_substrings(spark):
     df = spark.createDataFrame([(["my_fread_all", "printf", "recvfrom", "recvfrom"],)], "c array<string>")
     assert df.select(S.sinks_called(F.col("c"))).first()[0] == ["my_fread_all", "recvfrom"]
