@@ -244,10 +244,10 @@ def features(spark, folder):
     return I.task_features(B.bind(spark, folder, B.DOC_TASKS), B.bind(spark, folder, B.CACHE), B.bind(spark, folder, B.HITS))
 
 
-@R.add("a7_hit_stats", f"SELECT id AS qid, round(coalesce(sim_avg, 0), 9) AS sim_avg, coalesce(sim_max, 0) AS sim_max, round(coalesce(sim_var, 0), 9) AS sim_var FROM ({B.sql(B.DOC_TASKS)}) LEFT JOIN {STATS_SQL} ON qid = id")
+@R.add("a7_hit_stats", f"SELECT id AS qid, round(coalesce(sim_avg, 0), 9) AS sim_avg, coalesce(sim_max, 0) AS sim_max, round(coalesce(sim_var, 0), 13) AS sim_var FROM ({B.sql(B.DOC_TASKS)}) LEFT JOIN {STATS_SQL} ON qid = id")
 def a7(spark, folder):
     queries = B.bind(spark, folder, B.DOC_TASKS).select(F.col("id").alias("qid"))
-    return V.hit_stats(queries, B.bind(spark, folder, B.HITS)).withColumns({c: F.round(c, 9) for c in ("sim_avg", "sim_var")})
+    return V.hit_stats(queries, B.bind(spark, folder, B.HITS)).withColumns({"sim_avg": F.round("sim_avg", 9), "sim_var": F.round("sim_var", 13)})
 
 
 @R.add("p32_constraint_text", f"SELECT id, {RULES} AS rules FROM {DECODED_SQL}")
@@ -301,12 +301,13 @@ SELECT id AS vuln_id, CASE WHEN failed THEN 'Failed' ELSE 'Success' END AS statu
   CASE WHEN NOT failed THEN round(conf, 9) END AS calibrated_confidence, reason, reflected,
   reflected AND final_decision = 'VULNERABLE' AND conf < 0.3 AS unreliable, has_flow AS static_has_flow, complexity AS static_complexity,
   api_count AS feat_static_apis_count, round({DENS}, 12) AS feat_static_risk_density, source_type AS feat_static_source_type, length(code) AS feat_code_len,
-  length(code) > 12000 AS feat_is_compressed, round(sim_avg, 9) AS feature_rag_similarity, sim_max AS feat_rag_top1_sim, round(sim_var, 9) AS feat_rag_sim_variance,
+  length(code) > 12000 AS feat_is_compressed, round(sim_avg, 9) AS feature_rag_similarity, sim_max AS feat_rag_top1_sim, round(sim_var, 13) AS feat_rag_sim_variance,
   source_type * abs(has_flow::INT - CASE WHEN final_decision = 'VULNERABLE' THEN 1 ELSE 0 END) * 1.0 AS feat_conflict_disagreement,
   CASE WHEN has_flow AND coalesce(final_decision, '') <> 'VULNERABLE' THEN 1 ELSE 0 END AS feat_conflict_static_yes_llm_no, round(ent, 9) AS feat_llm_uncertainty
 FROM {FINAL_SQL}""")
 def j10(spark, folder):
     out = I.finalise(features(spark, folder), responses(spark, folder), weak_below=0.75)
-    nine = ("native_confidence", "calibrated_confidence", "feature_rag_similarity", "feat_rag_sim_variance", "feat_llm_uncertainty")
+    nine = ("native_confidence", "calibrated_confidence", "feature_rag_similarity", "feat_llm_uncertainty")
     return out.drop("raw_json", "first_score", "source_type", "feat_static_graph_density").withColumns(
-        {**{c: F.round(c, 9) for c in nine}, "feat_static_risk_density": F.round("feat_static_risk_density", 12)})
+        {**{c: F.round(c, 9) for c in nine}, "feat_static_risk_density": F.round("feat_static_risk_density", 12),
+         "feat_rag_sim_variance": F.round("feat_rag_sim_variance", 13)})

@@ -85,7 +85,7 @@ len AS MATERIALIZED (SELECT doc_id, len(w) AS dl FROM raw),
 tok AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM raw) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tok GROUP BY term),
 raw_idf AS MATERIALIZED (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS i FROM df, (SELECT count(*) AS n FROM len)),
-idf AS MATERIALIZED (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * m ELSE i END AS idf FROM raw_idf, (SELECT avg(i) AS m FROM raw_idf)),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * m ELSE i END AS idf FROM raw_idf, (SELECT round(avg(i), 9) AS m FROM raw_idf)),
 qt AS MATERIALIZED (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({split('code')}) AS term FROM ({queries})) GROUP BY ALL),
 part AS MATERIALIZED (SELECT tok.doc_id, tok.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM len))) AS p
   FROM tok JOIN idf ON idf.term = tok.term JOIN len ON len.doc_id = tok.doc_id),
@@ -104,6 +104,11 @@ def benchmark_queries(spark, folder):
     return V.asked_words(B.load(spark, folder, "benchmark"), "item_id", "text")
 
 
+def six_digits(hits):
+    """Rounded by plain arithmetic, which gives the same bits in every engine."""
+    return hits.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+
+
 @R.add("a21_corpus_stats", f"WITH {bm25_ctes(CORPUS, QUERIES)} SELECT count(*) AS docs, round(avg(dl), 6) AS mean_dl FROM len")
 def a21(spark, folder):
     return V.corpus_stats(corpus_tokens(spark, folder)).withColumn("mean_dl", F.round("mean_dl", 6))
@@ -121,16 +126,16 @@ def r5(spark, folder):
 
 
 @R.add("r2_j9_t2_bm25_topk", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
-SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
+SELECT qid, doc_id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2(spark, folder):
-    return V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder))
+    return six_digits(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder)))
 
 
 @R.add("r2_bm25_topk_grid", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
-SELECT qid, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
+SELECT qid, doc_id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2g(spark, folder):
     limits = V.GridLimits(broadcast_rows=0, query_block_rows=30, corpus_block_rows=300)
-    return V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder), limits=limits)
+    return six_digits(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder), limits=limits))
 
 
 LEAK = "md5(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
