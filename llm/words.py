@@ -72,6 +72,15 @@ class Block:
             out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i]:self.ends[i]].tobytes())
         return out
 
+    def stems(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes (8 at most) of each longer word; shorter words keep their own hash."""
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        load = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded.tobytes(), strides=(1,))
+        longer = np.flatnonzero(self.ends - self.starts > size)
+        out = hashes.copy()
+        out[longer] = mix((load[self.starts[longer]] & _MASKS[size]) * _ODD + np.uint64(size))
+        return out
+
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of `width` words inside one document, and the index of its first word."""
         n = len(hashes) - width + 1
