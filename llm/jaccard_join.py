@@ -10,7 +10,7 @@ cost that keys have in the corpus, exact verification on the sets.
    similar partner are done here.
 4. In each key's group every node is verified against one leader, not against all.  Components follow.
 5. Groups that still hold several components are finished: small ones pair by pair, groups over PAIRED
-   rows block against block within a task, where intersections are one matrix product.  Only links leave.
+   rows block against block within a task, where common tokens are counted by postings.  Only links leave.
 
 Pairs of a group in different components are compared in full, so no link between components is lost;
 pairs inside one component add nothing and are left out.
@@ -34,9 +34,8 @@ from llm.graph import components
 from llm.segments import DEN, NUM
 
 SHINGLE = 5
-PAIRED = 32  # rows of a group that are still paired one by one
-BLOCK_TOKENS = 1 << 17  # tokens of the sets in one block of a large cluster
-STEP = 2048  # tokens in one matrix product
+PAIRED = 8  # rows of a group that are still paired one by one
+BLOCK_TOKENS = 1 << 19  # tokens of the sets in one block of a large cluster
 SIEVE_BITS = 1 << 24  # bits of the broadcast sieve of wanted documents, 2 MB at any corpus size
 
 PRINT = "n_shingles long, h1 long, h2 long"
@@ -225,26 +224,22 @@ def in_blocks(members: DataFrame) -> DataFrame:
         size = table.column("n").to_numpy()
         sets = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in table.column("tokens").combine_chunks()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        vocabulary, seen = np.unique(np.concatenate(sets), return_counts=True)
-        vocabulary = vocabulary[seen > 1]
-        common = np.zeros((len(left), len(right)), dtype=np.float32)
-        for low in range(0, len(vocabulary), STEP):
-            part = vocabulary[low:low + STEP]
-
-            def rows_of(ids: np.ndarray, part: np.ndarray = part) -> np.ndarray:
-                out = np.zeros((len(ids), len(part)), dtype=np.float32)
-                for k, s in enumerate(ids):
-                    here = sets[s][np.searchsorted(sets[s], part[0]):np.searchsorted(sets[s], part[-1], side="right")]
-                    at = np.searchsorted(part, here)
-                    out[k, at[part[at] == here]] = 1
-                return out
-
-            a = rows_of(left)
-            common += a @ (a if i == j else rows_of(right)).T
-        union = size[left][:, None] + size[right][None, :] - common
-        good = (common * DEN >= NUM * union) & (comp[left][:, None] != comp[right][None, :])
-        x, y = np.nonzero(good)
-        return pa.table({"a": pa.array(name[left[x]], pa.string()), "b": pa.array(name[right[y]], pa.string())})
+        tokens = np.concatenate([sets[k] for k in right] or [np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        holder = np.repeat(np.arange(len(right)), size[right])[order]
+        vocabulary, start, count = np.unique(tokens[order], return_index=True, return_counts=True)
+        x, y = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for k in left if len(vocabulary) else ():
+            at = np.minimum(np.searchsorted(vocabulary, sets[k]), len(vocabulary) - 1)
+            at = at[vocabulary[at] == sets[k]]
+            runs = count[at]
+            spot = np.arange(runs.sum()) + np.repeat(start[at] - np.cumsum(runs) + runs, runs)
+            common = np.bincount(holder[spot], minlength=len(right))
+            good = np.flatnonzero((common * DEN >= NUM * (size[k] + size[right] - common)) & (comp[right] != comp[k]))
+            x.append(np.full(len(good), k))
+            y.append(right[good])
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.table({"a": pa.array(name[x], pa.string()), "b": pa.array(name[y], pa.string())})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(meet, "a string, b string")
 
@@ -254,7 +249,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> Da
     key = Window.partitionBy("key")
     shared = (key_rows(docs, width).withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key))
               .withColumn("others", F.count("*").over(key) - 1).where("low <> high").select("key", "node", "part", "others"))
-    probed = allocate(cut_lineage(shared))
+    probed = allocate(shared)
     leader = F.min(F.when(F.col("probe"), F.struct("node", "n"))).over(key)
     groups = cut_lineage(probed.withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key))
                          .withColumn("leader", leader).where("low <> high AND leader IS NOT NULL")
