@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import jaccard_join
+from llm import decontaminate, jaccard_join, line_dedup, packing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +23,43 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules and vocabulary over the urls of all pages."""
+    return url_filter.filter_urls(table(spark, folder, "pages"))
+
+
+ORACLE["op1_url_filter"] = url_filter.oracle_sql()
+
+
 @query
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity 0.8 or more."""
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents; the fold 0 of 5 is held out."""
+    scored = toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence", F.size("passages").alias("n_passages"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of 20 words or more that an earlier place holds, the same or one word apart."""
+    out = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+                      F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
