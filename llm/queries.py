@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, jaccard_join, line_dedup, packing, toxicity, url_filter
+from llm import (decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules,
+                 toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,12 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the likelihood ratio of all documents; documents labelled as of quality are the target."""
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
@@ -59,6 +66,24 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents; the fold 1 of 3 is held out."""
+    return quality_classifier.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""

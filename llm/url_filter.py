@@ -120,8 +120,8 @@ def oracle_sql(strict: tuple[str, ...] = STRICT, soft: dict[str, float] | None =
     ordered = sorted(rules, key=lambda r: -len(r[0]))
     best = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{a}'" for r, a in ordered) + " END"
-    hard = f"array_to_string([{', '.join(f"CASE WHEN {hit(t)} = 1 THEN '{t}' END" for t in sorted(strict))}], ',')"
-    weak = f"array_to_string([{', '.join(f"CASE WHEN {hit(t)} = 1 THEN '{t}' END" for t in sorted(soft))}], ',')"
+    hard = f"coalesce(array_to_string([{', '.join(f"CASE WHEN {hit(t)} = 1 THEN '{t}' END" for t in sorted(strict))}], ','), '')"
+    weak = f"coalesce(array_to_string([{', '.join(f"CASE WHEN {hit(t)} = 1 THEN '{t}' END" for t in sorted(soft))}], ','), '')"
     weight = " + ".join(f"{w} * {hit(t)}" for t, w in sorted(soft.items()))
     number = " + ".join(hit(t) for t in sorted(soft))
     return f"""
