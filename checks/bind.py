@@ -4,8 +4,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codewarden.session import spread_small
-
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -52,7 +50,7 @@ KB = """
 SELECT d.doc_id, concat('kb_', CAST(d.doc_id AS STRING)) AS original_id, d.text AS code,
        CASE WHEN e.label % 2 = 1 THEN 'VULNERABLE' ELSE 'BENIGN' END AS label,
        CASE WHEN e.label = 0 THEN NULL ELSE d.source END AS cwe_id, e.embedding AS vec
-FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id"""
+FROM {documents} d LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id"""
 
 HITS = """
 SELECT conv_id AS qid, CAST(turn + 1 AS INT) AS rank, concat('kb_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS original_id,
@@ -100,9 +98,9 @@ TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A given table.  Small text tables, which are one file split, are spread over the cores."""
+    """A given table.  Text tables are spread by their key, as heavy work follows for each row."""
     rows = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spread_small(rows, TEXT_KEYS[table]) if table in TEXT_KEYS else rows
+    return rows.repartition(TEXT_KEYS[table]) if table in TEXT_KEYS else rows
 
 
 def _used(text: str) -> list[str]:

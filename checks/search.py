@@ -12,7 +12,6 @@ from codewarden.functions.text import clip_for_embedding, is_blank, unit_vector
 from codewarden.operators import retrieval as V
 from codewarden.operators import tables as T
 from codewarden.plans import calibration as C
-from codewarden.session import spread_small
 from codewarden.streaming import results as ST
 
 R = B.Registry()
@@ -41,7 +40,7 @@ def r1(spark, folder):
 
 @R.add("r1_dense_topk_grid", f"SELECT qid, doc_id, rank, score FROM {dense_sql(30)}")
 def r1g(spark, folder):
-    limits = V.GridLimits(broadcast_rows=0, query_block_rows=200, corpus_block_rows=150)
+    limits = V.BlockLimits(query_block_rows=200)
     return V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True, limits=limits)
 
 
@@ -70,7 +69,7 @@ def p39t(spark, folder):
 
 @R.add("r6_hashed_text_vectors")
 def r6(spark, folder):
-    out = V.hashed_text_vectors(documents(spark, folder), "doc_id", "text", 256)
+    out = V.hashed_text_vectors(documents(spark, folder), "doc_id", "text", 768)
     return out.select("doc_id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"))
 
 
@@ -134,7 +133,7 @@ def r2(spark, folder):
 @R.add("r2_bm25_topk_grid", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
 SELECT qid, doc_id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2g(spark, folder):
-    limits = V.GridLimits(broadcast_rows=0, query_block_rows=30, corpus_block_rows=300)
+    limits = V.BlockLimits(query_block_rows=30)
     return six_digits(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder), limits=limits))
 
 
@@ -182,7 +181,7 @@ LEAK_GATE = "SELECT DISTINCT qid FROM dense e JOIN kbm a ON a.doc_id = e.qid JOI
 
 
 def kb_frame(spark, folder):
-    return spread_small(B.bind(spark, folder, B.KB), "doc_id")
+    return B.bind(spark, folder, B.KB).repartition("doc_id")
 
 
 @R.add("r3_a8_j6_t3_fusion", f"""WITH {hybrid_ctes(gate=PARITY_GATE)} SELECT qid, doc_id, rank, round(rrf, 9) AS rrf FROM fused""")
@@ -190,6 +189,7 @@ def r3(spark, folder):
     kb = kb_frame(spark, folder)
     asked = kb.select(F.col("doc_id").alias("qid"), "code", "vec")
     dense = V.gate(V.dense_topk(asked, kb, 30))
+    asked = asked.join(dense.select("qid").distinct(), "qid", "left_semi")
     sparse = V.bm25_topk(V.asked_words(V.shortened(asked, "qid")), V.tokenized(V.shortened(kb, "doc_id")))
     return V.fused_topk(V.fuse(dense, sparse), 15).select("qid", "doc_id", "rank", F.round("rrf", 9).alias("rrf"))
 

@@ -46,17 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-SMALL_TABLE_BYTES = 256 << 20
-
-
-def spread_small(df: DataFrame, key: str, limit: int = SMALL_TABLE_BYTES) -> DataFrame:
-    """Hash a table of one or two file splits over the cores before heavy per-row work.
-
-    Decided by the planner's size estimate, so large tables are left as the scan splits them.
-    """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
