@@ -15,13 +15,13 @@ stand; rows with a null doc_id too.  Whole sequences are one window and need no
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +31,13 @@ SEQUENCE = 1024
 GRAIN = 4
 END = 0
 CACHED_WORDS = 400_000  # words whose ids a worker keeps; it starts anew beyond
+JOINED_WORDS = 4_000
+CLOSING = ".,;:!?%&$*#|\"')(<>-"
 SLICE_BYTES = 4 << 20
 
-# White space other than single blanks or line ends inside the text: such texts are encoded as a whole.
-ODD_SPACE = regex.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|[\x1c-\x1f\x85]")
+# White space beside single blanks and line ends inside the text: such texts are encoded as a whole.
+ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
 
 
 @lru_cache(maxsize=2)
@@ -46,35 +49,81 @@ def _tokenizer(path: str):
     return found
 
 
+def plain(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line ends between other signs."""
+    return not (text[0] in " \n" or text[-1] in " \n" or any(d in text for d in DOUBLE_SPACE) or ODD_SPACE.search(text))
+
+
 class Encoder:
     """Token ids, as little-endian 32-bit bytes, of texts.
 
-    The tokenizer splits a text before a single blank in any case, so a text is the sequence of its words
-    with the blank before each, and the tokenizer encodes each different word once.
+    The tokenizer splits a text before a single blank in any case, so a plain text is its words, each but
+    the first with the blank before it, and the tokenizer encodes each different word once.  New words go to
+    it as one text; a token that begins with the blank begins the next word.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer = _tokenizer(path)
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _opened(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words without inner white space, each with a blank before it."""
+        found = {}
+        for low in range(0, len(new), JOINED_WORDS):
+            part = new[low:low + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):  # never for a byte-level vocabulary; then one by one
+                found.update(zip(part, self._encode([" " + w for w in part]), strict=True))
+                continue
+            raw, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            found.update((w, raw[edges[k]:edges[k + 1]]) for k, w in enumerate(part))
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Words come apart again where the tokenizer splits them: at line ends, and before closing signs."""
+        pieces, opened, bare = {}, set(), set()
+        for w in new:
+            out = []
+            for k, line in enumerate(w.split("\n")):
+                core = line.rstrip(CLOSING)
+                core, tail = (core, line[len(core):]) if core and core[-1].isalnum() else (line, "")
+                out += [(k == 0, core), (False, tail)] if k == 0 else [(False, "\n"), (False, core), (False, tail)]
+            pieces[w] = out = [p for p in out if p[1]]
+            for first, p in out:
+                (opened if first else bare).add(p)
+        if len(self.cores) + len(self.bare) > CACHED_WORDS:
+            self.cores.clear()
+            self.bare.clear()
+        self.cores.update(self._opened([p for p in opened if p not in self.cores]))
+        missing = [p for p in bare if p not in self.bare]
+        self.bare.update(zip(missing, self._encode(missing), strict=True))
+        self.known.update((w, b"".join([self.cores[p] if first else self.bare[p] for first, p in out])) for w, out in pieces.items())
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and ODD_SPACE.search(t)]
-        odd = set(whole)
+        words, whole, firsts = {}, [], []
+        for i, t in enumerate(texts):
+            if t and plain(t):
+                first, *words[i] = t.split(" ")
+                firsts.append(first)
+            elif t:
+                whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        parts = {i: t.replace(" ", "\0 ").split("\0") for i, t in enumerate(texts) if t and i not in odd and "\0" not in t}
-        for i, t in enumerate(texts):
-            if t and i not in odd and i not in parts:
-                out[i] = self._encode([t])[0]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list({w for p in parts.values() for w in p if w not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        for i, p in parts.items():
-            out[i] = b"".join(map(self.known.__getitem__, p))
+        self._learn(list({w for p in words.values() for w in p if w not in self.known}))
+        for (i, p), ids in zip(words.items(), self._encode(firsts), strict=True):
+            out[i] = ids + b"".join(map(self.known.__getitem__, p))
         return out
 
 
