@@ -3,7 +3,7 @@
 1. Words and their stems (first 4 and 5 bytes, so that inflected forms count together) are counted by
    hash bucket: over all documents (the Dirichlet prior), and by documents in the labelled ones of either
    class.  A bucket has the log-odds ratio under that prior, drawn towards zero by Z standard
-   deviations; a word has the best of its buckets, less DRIFT, so that ordinary text scores below zero.
+   deviations; a word has the best of its buckets, zero at least, less DRIFT, so that ordinary text scores below zero.
 2. In each text the scan of Ruzzo and Tompa finds every maximal-scoring segment in linear time; only
    words of positive score can open one, and all words between count by running sums.
 3. Segment scores become extreme-value evidence: with lambda solving sum p exp(lambda s) = 1 over the words
@@ -57,8 +57,8 @@ def buckets(block: words.Block) -> list[np.ndarray]:
 
 
 def word_scores(block: words.Block, odds: np.ndarray) -> np.ndarray:
-    """The best log-odds of each word and its stems, less DRIFT."""
-    return np.max([odds[b] for b in buckets(block)], axis=0) - np.float32(DRIFT)
+    """The best log-odds of each word and its stems, zero at least, less DRIFT."""
+    return np.maximum(0, np.max([odds[b] for b in buckets(block)], axis=0)) - np.float32(DRIFT)
 
 
 def counts(rows: DataFrame) -> np.ndarray:
@@ -117,10 +117,15 @@ def ordinary(rows: DataFrame, odds: np.ndarray) -> np.ndarray:
     return out
 
 
-def decay(counted: np.ndarray) -> float:
-    """lambda > 0 with sum p exp(lambda s) = 1 over ordinary words; their mean score is negative."""
+def decay(counted: np.ndarray, best: float) -> float:
+    """lambda > 0 with sum p exp(lambda s) = 1 over ordinary words; their mean score is negative.
+
+    One more word of the best score is counted, as ordinary text may hold it though none was seen.
+    """
     score = SCORE_LEAST + (np.arange(SCORE_BINS) + 0.5) * SCORE_STEP
-    p = counted / max(1, counted.sum())
+    counted = counted.copy()
+    counted[int(np.clip((best - DRIFT - SCORE_LEAST) / SCORE_STEP, 0, SCORE_BINS - 1))] += 1
+    p = counted / counted.sum()
     if not p[score > 0].any() or (p * score).sum() >= 0:
         return 1.0
     low, high = 0.0, 1.0
@@ -135,7 +140,7 @@ def decay(counted: np.ndarray) -> float:
 def train(rows: DataFrame) -> Model:
     """Log-odds of all buckets from `rows` (text, label); label is null where a document may not teach."""
     odds = log_odds(*counts(rows)).astype(np.float32)
-    return Model(odds, decay(ordinary(rows, odds)))
+    return Model(odds, decay(ordinary(rows, odds), float(odds.max())))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
