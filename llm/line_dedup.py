@@ -24,6 +24,7 @@ whose lines all go becomes empty.  Other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ MIN_WORDS = 20
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 _HALVES = [np.uint64(k) for k in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407)]
 _BASE = np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _powers(n: int) -> np.ndarray:
@@ -59,8 +61,7 @@ def variants(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(hashes)
     sums = line_hashes(hashes)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    less = sums[:-1] + (sums[-1] - sums[1:]) * inverse
+    less = sums[:-1] + (sums[-1] - sums[1:]) * _INVERSE
     size = np.uint64(n)
     whole = words.mix(sums[-1:] + size * _PLACE)
     return (np.concatenate([whole, words.mix(less + (size - np.uint64(1)) * _PLACE),
@@ -68,52 +69,67 @@ def variants(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([np.zeros(1, np.int32), np.ones(n, np.int32), np.full(n, 2, np.int32)]))
 
 
-def lines_of(batch: pa.RecordBatch, column: str, min_words: int) -> Iterator[tuple[int, int, int, int, np.ndarray, words.Block]]:
-    """(document, line number, first word, end word, word hashes, block) of every line that is long enough."""
-    block = words.split(batch.column(batch.schema.get_field_index(column)), words.SPACED)
-    hashes = block.hashes()
-    breaks = np.flatnonzero(block.data == 10)
-    for d in range(len(block)):
-        low, high = block.offsets[d], block.offsets[d + 1]
-        own = breaks[np.searchsorted(breaks, low):np.searchsorted(breaks, high)]
-        edges = np.concatenate([[block.bounds[d]], np.searchsorted(block.starts, own), [block.bounds[d + 1]]])
-        for line in np.flatnonzero(np.diff(edges) >= min_words):
-            yield d, int(line), int(edges[line]), int(edges[line + 1]), hashes[edges[line]:edges[line + 1]], block
-
+@dataclass
+class Lines:
+    """The lines of a block that are long enough: document, number, first and end word of each."""
 
-LINE = "text_hash long, line int, n int, h long, p1 long, s1 long, p2 long, s2 long"
+    block: words.Block
+    hashes: np.ndarray
+    doc: np.ndarray
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
-@np.errstate(over="ignore")
-def line_keys(hashes: np.ndarray) -> list[np.uint64]:
-    """Hash of a line; of the halves that it shares with near lines if it is the shorter; if it has a word more."""
-    n, sums, power = len(hashes), line_hashes(hashes), _powers(len(hashes))
-    out = [sums[n] + np.uint64(n) * _PLACE]
+def lines_of(texts: pa.Array, min_words: int) -> Lines:
+    block = words.split(texts, words.SPACED)
+    breaks = np.flatnonzero(block.data == 10)
+    owner = np.searchsorted(block.offsets, breaks, side="right") - 1
+    doc = np.concatenate([np.arange(len(block)), owner])
+    number = np.concatenate([np.zeros(len(block), np.int64), np.arange(len(breaks)) - np.searchsorted(owner, owner) + 1])
+    low = np.concatenate([block.bounds[:-1], np.searchsorted(block.starts, breaks)])
+    order = np.lexsort((number, doc))
+    doc, number, low = doc[order], number[order], low[order]
+    last = np.append(doc[1:] != doc[:-1], [True] * bool(len(doc)))
+    high = np.where(last, block.bounds[1:][doc], np.append(low[1:], 0)) if len(doc) else low
+    long = high - low >= min_words
+    return Lines(block, block.hashes(), doc[long], number[long], low[long], high[long])
+
+
+def line_keys(lines: Lines) -> np.ndarray:
+    """Five keys of each line: of itself; of the halves that it shares with near lines if it is the shorter of
+    the two; if it has a word more."""
+    h, low, high = lines.hashes, lines.low, lines.high
+    power = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
+    back = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(h), _INVERSE, dtype=np.uint64)]))
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sums[b] - sums[a]) * back[a]
+
+    n = high - low
+    out = [run(low, high) + n.astype(np.uint64) * _PLACE]
     for size in (n, n - 1):  # words of the shorter line
-        a = size // 2
-        shift = np.uint64(pow(int(power[n - size + a]), -1, 1 << 64))
-        out += [sums[a] + np.uint64(size) * _HALVES[0], (sums[n] - sums[n - size + a]) * shift + np.uint64(size) * _HALVES[1]]
-    return out
+        half, u = size // 2, size.astype(np.uint64)
+        out += [run(low, low + half) + u * _HALVES[0], run(high - size + half, high) + u * _HALVES[1]]
+    return words.mix(np.stack(out, axis=1))
+
+
+LINE = "text_hash long, line int, n int, h long, p1 long, s1 long, p2 long, s2 long"
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_hash, line, n, h, halves) of each first occurrence in its document; later ones have n = 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.blocks(batches):
-            rows, values, seen, last = [], [], set(), -1
-            for d, line, low, high, hashes, _ in lines_of(batch, "text", min_words):
-                seen, last = (seen, last) if d == last else (set(), d)
-                keys = line_keys(hashes)
-                rows.append((d, line, 0 if keys[0] in seen else high - low))
-                values.append(keys)
-                seen.add(keys[0])
-            if rows:
-                owner, number, size = (np.array(c) for c in zip(*rows, strict=True))
-                keyed = words.mix(np.array(values, dtype=np.uint64)).view(np.int64)
-                picked = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(number.astype(np.int32)),
-                                                  pa.array(size.astype(np.int32)), *(pa.array(keyed[:, k].copy()) for k in range(5))],
-                                                 names=["doc_id", *(c.split()[0] for c in LINE.split(", "))])
+            found = lines_of(batch.column(2), min_words)
+            keys = line_keys(found)
+            n = np.zeros(len(keys), dtype=np.int32)
+            _, once = np.unique(words.mix(keys[:, 0] + found.doc.astype(np.uint64) * _PLACE), return_index=True)
+            n[once] = (found.high - found.low)[once]
+            picked, keyed = pa.array(found.doc), keys.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(found.number.astype(np.int32)), pa.array(n),
+                                              *(pa.array(keyed[:, k].copy()) for k in range(5))], names=["doc_id", *(c.split()[0] for c in LINE.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -147,14 +163,11 @@ def near_classes(docs: DataFrame, classes: DataFrame, min_words: int) -> DataFra
             hit = pa.array(((bits.value[place >> 6] >> (place & 63)) & 1) == 1)
             batch = pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in (0, 1)], names=["doc_id", "text"])
             for some in words.blocks(iter([batch])):
-                owner, number, keyed, content = [], [], [], []
-                for d, line, low, high, hashes, block in lines_of(some, "text", min_words):
-                    owner.append(d)
-                    number.append(line)
-                    keyed.append(int(words.mix(np.array(line_keys(hashes)[:1])).view(np.int64)[0]))
-                    content.append(b" ".join(block.word(i) for i in range(low, high)))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()),
-                                                  pa.array(keyed, pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "line", "h", "words"])
+                found = lines_of(some.column(1), min_words)
+                content = [b" ".join(map(found.block.word, range(low, high))) for low, high in zip(found.low, found.high, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(found.doc)), pa.array(found.number.astype(np.int32)),
+                                                  pa.array(line_keys(found)[:, 0].copy().view(np.int64)), pa.array(content, pa.binary())],
+                                                 names=["doc_id", "line", "h", "words"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
