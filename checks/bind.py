@@ -14,6 +14,8 @@ SAMPLES = """
 SELECT d.doc_id AS id, d.text AS func, d.source AS project, d.lang AS cwe, CAST(l.toxic AS BIGINT) AS target
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 
+EVERY_SAMPLE = SAMPLES.replace(" JOIN {labels}", " LEFT JOIN {labels}")
+
 SCORED = f"""
 SELECT {ROW_ID} AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
        CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS raw_pred, l_discount AS score,

@@ -15,6 +15,13 @@ R = B.Registry()
 S = B.sql(B.SAMPLES)
 
 
+A = B.sql(B.EVERY_SAMPLE)  # with the documents that have no label
+
+
+def every_sample(spark, folder):
+    return B.bind(spark, folder, B.EVERY_SAMPLE)
+
+
 def samples(spark, folder):
     return B.bind(spark, folder, B.SAMPLES)
 
@@ -29,10 +36,9 @@ def with_json(rows, base: dict, fragments: str):
 # --- record normalisation ---------------------------------------------------------------------
 
 DIVERSE_FRAGMENTS = """concat(
-  CASE id % 6 WHEN 0 THEN concat(',"target":', target) WHEN 1 THEN concat(',"target":"', target, '"')
-    WHEN 2 THEN concat(',"target":', CASE WHEN target = 1 THEN 'true' ELSE 'false' END)
-    WHEN 3 THEN CASE WHEN target = 1 THEN ',"target":" True "' ELSE ',"target":"yes"' END
-    WHEN 4 THEN ',"target":null' ELSE '' END,
+  CASE WHEN id % 6 = 4 THEN ',"target":null' WHEN target IS NULL THEN '' WHEN id % 6 = 0 THEN concat(',"target":', target)
+    WHEN id % 6 = 1 THEN concat(',"target":"', target, '"') WHEN id % 6 = 2 THEN concat(',"target":', CASE WHEN target = 1 THEN 'true' ELSE 'false' END)
+    WHEN id % 6 = 3 THEN CASE WHEN target = 1 THEN ',"target":" True "' ELSE ',"target":"yes"' END ELSE '' END,
   CASE id % 5 WHEN 0 THEN concat(',"cwe":["', cwe, '","x"]') WHEN 1 THEN concat(',"cwe":"', cwe, '"')
     WHEN 2 THEN ',"cwe":null' WHEN 3 THEN ',"cwe":[]' ELSE '' END,
   CASE WHEN id % 4 = 0 THEN ',"project":null' ELSE concat(',"project":"', project, '"') END)"""
@@ -40,30 +46,30 @@ DIVERSE_FRAGMENTS = """concat(
 
 @R.add("p1_normalize_diversevul", f"""
 SELECT id, md5(func) AS func_md5,
-  CAST(CASE id % 6 WHEN 4 THEN NULL WHEN 5 THEN 0 ELSE target END AS BIGINT) AS target,
+  CAST(CASE id % 6 WHEN 4 THEN NULL WHEN 5 THEN 0 ELSE coalesce(target, 0) END AS BIGINT) AS target,
   CASE id % 5 WHEN 0 THEN cwe WHEN 1 THEN cwe WHEN 3 THEN '[]' ELSE 'None' END AS cwe,
   CASE WHEN id % 4 = 0 THEN NULL ELSE project END AS project, CAST(id AS VARCHAR) AS commit_id,
   'diversevul' AS dataset, length(func) AS size
-FROM ({S})""")
+FROM ({A})""")
 def p1(spark, folder):
-    raw = with_json(samples(spark, folder), {"func": "func", "commit_id": "id", "size": "length(func)"}, DIVERSE_FRAGMENTS)
+    raw = with_json(every_sample(spark, folder), {"func": "func", "commit_id": "id", "size": "length(func)"}, DIVERSE_FRAGMENTS)
     return N.normalize_diversevul(raw.select("id", "record")).select(
         "id", F.md5("func").alias("func_md5"), "target", "cwe", "project", "commit_id", "dataset", "size")
 
 
 VCL_FRAGMENTS = """concat(
-  CASE id % 3 WHEN 0 THEN concat(',"label":', target) WHEN 1 THEN concat(',"label":" ', target, ' "') ELSE '' END,
+  CASE WHEN target IS NULL THEN '' WHEN id % 3 = 0 THEN concat(',"label":', target) WHEN id % 3 = 1 THEN concat(',"label":" ', target, ' "') ELSE '' END,
   CASE id % 6 WHEN 0 THEN concat(',"cwe_id":', length(func)) WHEN 1 THEN concat(',"cwe_id":" ', length(func), ' "')
     WHEN 2 THEN ',"cwe_id":"Null"' WHEN 3 THEN concat(',"cwe_id":"CWE-', id, '"') WHEN 4 THEN ',"cwe_id":null' ELSE '' END)"""
 
 
 @R.add("p2_normalize_vcl", f"""
-SELECT id, md5(func) AS func_md5, CAST(CASE id % 3 WHEN 2 THEN 0 ELSE target END AS BIGINT) AS target,
+SELECT id, md5(func) AS func_md5, CAST(CASE id % 3 WHEN 2 THEN 0 ELSE coalesce(target, 0) END AS BIGINT) AS target,
   CASE id % 6 WHEN 0 THEN 'CWE-' || length(func) WHEN 1 THEN 'CWE-' || length(func) WHEN 3 THEN 'CWE-' || id ELSE 'None' END AS cwe,
   'vcldata' AS dataset, project AS name
-FROM ({S})""")
+FROM ({A})""")
 def p2(spark, folder):
-    raw = with_json(samples(spark, folder), {"func": "func", "name": "project"}, VCL_FRAGMENTS)
+    raw = with_json(every_sample(spark, folder), {"func": "func", "name": "project"}, VCL_FRAGMENTS)
     return N.normalize_vcl(raw.select("id", "record")).select(
         "id", F.md5("func").alias("func_md5"), "target", "cwe", "dataset", "name")
 
@@ -115,29 +121,29 @@ def p6(spark, folder):
 
 @R.add("p7_normalize_devign", f"""
 SELECT id, CASE id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL ELSE 'c' || id END AS commit_id, md5(func) AS code_md5,
-  CAST(CASE id % 5 WHEN 4 THEN 0 ELSE target END AS BIGINT) AS target, 'N/A' AS cwe, project
-FROM ({S}) WHERE id % 7 > 0 AND id % 5 <> 3""")
+  CAST(CASE id % 5 WHEN 4 THEN 0 ELSE coalesce(target, 0) END AS BIGINT) AS target, 'N/A' AS cwe, project
+FROM ({A}) WHERE id % 7 > 0 AND id % 5 <> 3""")
 def p7(spark, folder):
-    raw = with_json(samples(spark, folder), {
+    raw = with_json(every_sample(spark, folder), {
         "func": "CASE WHEN id % 7 = 0 THEN '' ELSE func END", "project": "project",
     }, """concat(CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN ',"commit_id":null' ELSE concat(',"commit_id":"c', id, '"') END,
-                 CASE id % 5 WHEN 0 THEN concat(',"target":', target) WHEN 1 THEN concat(',"target":"', target, '"')
-                   WHEN 2 THEN concat(',"target":', target, '.7') WHEN 3 THEN ',"target":null' ELSE '' END)""")
+                 CASE WHEN id % 5 = 3 THEN ',"target":null' WHEN target IS NULL THEN '' WHEN id % 5 = 0 THEN concat(',"target":', target)
+                   WHEN id % 5 = 1 THEN concat(',"target":"', target, '"') WHEN id % 5 = 2 THEN concat(',"target":', target, '.7') ELSE '' END)""")
     return N.normalize_devign(raw.select("id", "record")).withColumn("code_md5", F.md5("code")).drop("code")
 
 
 @R.add("k2_import_tasks", f"""
 SELECT 'val_' || CASE WHEN id % 4 = 0 THEN 'unk' ELSE 'c' || id END || '_' || id AS name,
   CASE WHEN id % 4 = 0 THEN 'unk' ELSE 'c' || id END AS commit_id, md5(func) AS code_md5,
-  CAST(CASE WHEN id % 5 = 1 THEN 0 ELSE target END AS BIGINT) AS ground_truth_label,
+  CAST(CASE WHEN id % 5 = 1 THEN 0 ELSE coalesce(target, 0) END AS BIGINT) AS ground_truth_label,
   CASE id % 6 WHEN 0 THEN cwe WHEN 1 THEN cwe WHEN 2 THEN project WHEN 3 THEN project ELSE 'N/A' END AS cwe_id,
   'Pending' AS status
-FROM ({S}) WHERE id % 5 <> 2""")
+FROM ({A}) WHERE id % 5 <> 2""")
 def k2(spark, folder):
-    raw = with_json(samples(spark, folder), {
+    raw = with_json(every_sample(spark, folder), {
         "commit_id": "CASE WHEN id % 4 = 0 THEN '' ELSE concat('c', id) END",
         "func": "CASE WHEN id % 2 = 0 THEN func ELSE '' END", "code": "func",
-    }, """concat(CASE id % 5 WHEN 1 THEN '' WHEN 2 THEN ',"target":null' ELSE concat(',"target":', target) END,
+    }, """concat(CASE WHEN id % 5 = 2 THEN ',"target":null' WHEN id % 5 = 1 OR target IS NULL THEN '' ELSE concat(',"target":', target) END,
                  CASE id % 6 WHEN 0 THEN concat(',"cwe":["', cwe, '"],"cwe_id":"no"') WHEN 1 THEN concat(',"cwe":"', cwe, '"')
                    WHEN 2 THEN concat(',"cwe":[],"cwe_id":"', project, '"') WHEN 3 THEN concat(',"cwe":"","cwe_id":["', project, '"]')
                    WHEN 4 THEN ',"cwe":null,"cwe_id":[]' ELSE '' END)""")
@@ -386,12 +392,15 @@ def g3(spark, folder):
     return G.calibration_sets(samples(spark, folder), sizes, 42, "id", CONTENT).select("id", "part")
 
 
+LANGS = ("de", "en", "es", "fr")
+
+
 @R.add("g4_balanced_kb", "\nUNION ALL ".join(
     f"SELECT id, '{lang}' AS kb_source, CAST({label} AS BIGINT) AS target FROM {sample_sql(f'''SELECT * FROM ({S}) WHERE cwe = '{lang}' AND target = {label}''', str(size), '42')}"
-    for lang in ("en", "fr") for label, size in ((1, 15), (0, 40))))
+    for lang in LANGS for label, size in ((1, 15), (0, 40))))
 def g4(spark, folder):
     rows = samples(spark, folder)
-    sources = {lang: rows.where(F.col("cwe") == lang) for lang in ("en", "fr")}
+    sources = {lang: rows.where(F.col("cwe") == lang) for lang in LANGS}
     return G.balanced_kb(sources, 15, 40, 42, "id", CONTENT).select("id", "kb_source", "target")
 
 

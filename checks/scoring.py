@@ -96,6 +96,22 @@ def k4s(spark, folder):
     return out.select("id", "status")
 
 
+BATCH_MANY = f"""
+SELECT l_orderkey AS vuln_id, {B.ROW_ID} AS seq, CASE WHEN l_tax < 0.03 THEN 'success' ELSE 'fail' END AS outcome,
+       CASE WHEN l_tax < 0.03 THEN 'Success' ELSE 'Failed' END AS status, l_linestatus AS final_decision, l_tax AS native_confidence
+FROM {{lineitem}} WHERE l_returnflag = 'N'"""
+LAST = f"(SELECT vuln_id, max(seq) AS seq, arg_max(outcome, seq) AS outcome, arg_max(final_decision, seq) AS final_decision, arg_max(native_confidence, seq) AS native_confidence FROM ({B.sql(BATCH_MANY)}) GROUP BY vuln_id)"
+
+
+@R.add("k4_last_result_of_a_task", f"""
+SELECT * FROM {OQ} o WHERE NOT EXISTS (SELECT 1 FROM {LAST} b WHERE b.vuln_id = o.vuln_id)
+UNION ALL SELECT vuln_id, final_decision, native_confidence FROM {LAST} WHERE outcome = 'success'""")
+def k4l(spark, folder):
+    _, out = T.write_results(tasks(spark, folder), B.bind(spark, folder, f"SELECT * FROM {OLD}"), B.bind(spark, folder, BATCH_MANY),
+                             ["final_decision", "native_confidence"], order="seq")
+    return out
+
+
 @R.add("k4_replace_twice", f"""
 SELECT * FROM {OQ} o WHERE NOT EXISTS (SELECT 1 FROM ({BQ}) b WHERE b.vuln_id = o.vuln_id)
 UNION ALL SELECT vuln_id, final_decision, native_confidence FROM ({BQ})""")
@@ -174,7 +190,9 @@ def a20(spark, folder):
     return T.integrity(B.load(spark, folder, "documents"), B.load(spark, folder, "labels"), "doc_id")
 
 
-@R.add("a20_id_list_md5", "SELECT md5(string_agg(vec_id, '' ORDER BY vec_id)) AS ids_md5 FROM embeddings")
+@R.add("a20_id_list_md5", """
+SELECT md5(string_agg(d, '' ORDER BY b)) AS ids_md5 FROM (
+  SELECT substr(md5(vec_id::VARCHAR), 1, 3) AS b, md5(string_agg(vec_id, '' ORDER BY vec_id)) AS d FROM embeddings GROUP BY 1)""")
 def a20m(spark, folder):
     return T.id_list_md5(B.load(spark, folder, "embeddings"), "vec_id")
 
@@ -274,12 +292,12 @@ def draws_sql(source: str, label: str, score: str, rounds: int, seed: int) -> st
 
 
 JOINED = f"SELECT t.ground_truth_label, r.* FROM ({RS}) r JOIN ({TK}) t ON r.vuln_id = t.id WHERE t.split = 'split1' AND t.status = 'Success'"
-ROUNDS = 40
+ROUNDS = 100
 
 
-@R.add("a15_g7_bootstrap_rounds", f"SELECT round, threshold, round(f1, 9) AS f1 FROM {draws_sql(SC, 'label', 'score', 20, 42)}")
+@R.add("a15_g7_bootstrap_rounds", f"SELECT round, threshold, round(f1, 9) AS f1 FROM {draws_sql(SC, 'label', 'score', 100, 42)}")
 def a15(spark, folder):
-    return M.bootstrap_thresholds(scored(spark, folder), "label", "score", 20, 42, "rows").withColumn("f1", F.round("f1", 9))
+    return M.bootstrap_thresholds(scored(spark, folder), "label", "score", 100, 42, "rows").withColumn("f1", F.round("f1", 9))
 
 
 @R.add("m8_bootstrap_threshold", f"""

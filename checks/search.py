@@ -280,13 +280,13 @@ def labelled(spark, folder):
 
 @R.add("m4_m5_train_report")
 def m5(spark, folder):
-    _, report = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id", rounds=10)
+    _, report = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id")
     return report.select("best_threshold", "best_f1", "auc", F.size("features").alias("features"))
 
 
 @R.add("m6_apply_calibrator")
 def m6(spark, folder):
-    calibrator, _ = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id", rounds=10)
+    calibrator, _ = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id")
     return C.apply_calibrator(scoring.results(spark, folder), calibrator, "vuln_id")
 
 

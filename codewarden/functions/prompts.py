@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
+from codewarden.functions.text import drop_control_chars
 
 # --- Fixed values: section layout of the audit prompt and of the second-round text. ---
 _SECTIONS = (
@@ -29,9 +30,6 @@ _REBUTTAL = (
 )
 
 
-SHORTEST_HIT = len("[Ref: | Sim:0%] \n")
-
-
 def evidence_text(source_type: Column, has_flow: Column) -> Column:
     return (
         F.when((source_type == K.SOURCE_DATAFLOW) & has_flow, F.lit(K.EVIDENCE_CONFIRMED))
@@ -75,6 +73,12 @@ def audit_prompt(code: Column, complexity: Column, density: Column, evidence: Co
     return F.concat(*pieces, F.lit(_SECTIONS[-1]))
 
 
+def as_sent(prompt: Column, system: str = "") -> Column:
+    """What goes to the model: both parts named if there is a system text, no control characters."""
+    text = F.concat(F.lit(f"System: {system}\nUser: "), prompt) if system else prompt
+    return drop_control_chars(text)
+
+
 def rebuttal_prompt(first_prompt: Column, evidence: Column, score: Column) -> Column:
     return F.concat(first_prompt, F.lit(_REBUTTAL[0]), evidence, F.lit(_REBUTTAL[1]),
                     F.format_string("%.2f", score), F.lit(_REBUTTAL[2]))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codewarden.session import cut_lineage
 
-HASH_PREFIX = 3  # hex digits: 4096 buckets per group
+HASH_PREFIX = 5  # hex digits: a million buckets per group; only those that hold rows are counted
+BUCKET_ROWS = 1_000_000
 
 
 def seeded_hash(seed: int | str, *keys: Column) -> Column:
@@ -40,31 +41,26 @@ def lowest_hashes(rows: DataFrame, keys: Sequence[str], quotas: DataFrame, row_i
     return near.where(F.col("_rank") <= F.col("_left")).select(*keys, row_id)
 
 
-def quantile_edges(rows: DataFrame, column: str, buckets: int) -> list[float]:
-    """The ordered inner bucket edges of a numeric column: fewer than `buckets` numbers."""
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = rows.agg(F.percentile_approx(column, shares, F.lit(max(1000, 10 * buckets)))).first()[0]
-    return sorted(set(edges or []))
-
-
 def bucket_count(rows: DataFrame) -> int:
-    """As many ordered buckets as the cluster has shuffle tasks, within 32 and 512."""
-    return max(32, min(512, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Ordered buckets of about BUCKET_ROWS rows each, and 32 at least."""
+    return max(32, -(-rows.count() // BUCKET_ROWS))
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
                    descending: bool = True, buckets: int | None = None) -> DataFrame:
     """Add `run_<c>`, the sum of c up to and including this row, and `all_<c>`, the sum over the keys.
 
-    `rows` must hold each (keys, order) once, so quantile edges give even buckets and the largest
-    window holds about 1/buckets of a group.  The rows are read three times, so they are written out
+    `rows` must hold each (keys, order) once, so the quantile edges of its group give even buckets and the
+    largest window holds about 1/buckets of a group.  The rows are read three times, so they are written out
     first: they are the counts of much larger data.
     """
     keys = list(keys)
-    buckets = buckets or bucket_count(rows)
     rows = cut_lineage(rows)
-    edges = F.array(*[F.lit(float(e)) for e in quantile_edges(rows, order, buckets)]).cast("array<double>")
-    placed = rows.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    buckets = buckets or bucket_count(rows)
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(max(1000, 10 * buckets))).alias("_edges"))
+    met = rows.join(cuts, keys) if keys else rows.join(F.broadcast(cuts), F.lit(True))  # one row without keys
+    placed = met.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     within = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -9,7 +9,6 @@ from codewarden.functions.text import none_if_empty, stable_ratio
 from codewarden.operators.ordering import lowest_hashes, seeded_hash
 from codewarden.session import cut_lineage
 
-BROADCAST_ROWS = 100_000  # largest selection that is shipped to every executor
 
 
 def split_key(commit_id: Column, func: Column) -> Column:
@@ -55,7 +54,7 @@ def stratum_quotas(sizes: DataFrame, targets: DataFrame, groups: Sequence[str] =
     sizes = cut_lineage(sizes)  # counts of the whole data, read several times below
 
     def per_group(rows: DataFrame, small: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(small), groups if groups else F.lit(True))
+        return rows.join(small, groups) if groups else rows.join(F.broadcast(small), F.lit(True))  # one row without groups
 
     keyed = per_group(sizes, targets.select(*groups, F.col("target_n").cast("bigint"))).withColumn(
         "_stratum", F.md5(F.concat_ws("|", "cwe_key", "project_key")))
@@ -81,27 +80,22 @@ def _content(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def exclude_by_content(rows: DataFrame, taken: DataFrame, columns: Sequence[str],
-                       taken_rows: int | None = None) -> DataFrame:
+def exclude_by_content(rows: DataFrame, taken: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose values equal no taken row: copies of a taken row leave the pool as well.
 
     The taken side is reduced to distinct digests first, so a hot group of copies meets one row.
     """
     known = taken.select(_content(columns).alias("_content")).distinct()
-    if taken_rows is not None and taken_rows <= BROADCAST_ROWS:
-        known = F.broadcast(known)
     return rows.withColumn("_content", _content(columns)).join(known, "_content", "left_anti").drop("_content")
 
 
 def stratified_sample_by(samples: DataFrame, groups: Sequence[str], targets: DataFrame, seed: int | str, row_id: str,
-                         content: Sequence[str], cwe: str = "cwe", project: str = "project",
-                         at_most: int | None = None) -> DataFrame:
+                         content: Sequence[str], cwe: str = "cwe", project: str = "project") -> DataFrame:
     """Stratified samples of many groups in one go, `target_n` rows for each group of `targets`.
 
     About proportional over the (cwe, project) strata of the group.  Rows missing after the quotas
     are filled from what is left, copies of chosen rows excepted; a surplus is cut by hash order.
     All ranking is done on (group, id, strata, hash); whole rows are touched by the final semi-join.
-    `at_most` bounds the sample, so a small one can be broadcast.
     """
     groups, strata = list(groups), ["cwe_key", "project_key"]
     key = [*groups, row_id]
@@ -125,8 +119,6 @@ def stratified_sample_by(samples: DataFrame, groups: Sequence[str], targets: Dat
         ranked = ids.withColumn("_hash", seeded_hash(seed, F.col(row_id)))
         limit = balance.select(*groups, F.col("_target").alias("take"))
         ids = cut_lineage(lowest_hashes(ranked, groups, limit, row_id, "_hash").select(*key))
-    if at_most is not None and at_most <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     return samples.join(ids, key, "left_semi")
 
 
@@ -139,7 +131,7 @@ def stratified_sample(samples: DataFrame, target: int, seed: int | str, row_id:
     """Stratified sample of `target` rows; see `stratified_sample_by`."""
     if target <= 0:
         return samples.limit(0)
-    return stratified_sample_by(samples, [], _one_target(samples, target), seed, row_id, content, cwe, project, target)
+    return stratified_sample_by(samples, [], _one_target(samples, target), seed, row_id, content, cwe, project)
 
 
 def _targets(rows: DataFrame, column: str, sizes: dict[int, int]) -> DataFrame:
@@ -157,11 +149,10 @@ def calibration_sets(samples: DataFrame, sizes: dict[str, int], seed: int | str,
     """
     def draw(pool: DataFrame, part: str) -> DataFrame:
         wanted = {1: sizes[f"{part}_pos"], 0: sizes[f"{part}_neg"]}
-        return stratified_sample_by(pool, [target], _targets(pool, target, wanted), f"{seed}-{part}", row_id, content,
-                                    at_most=sum(wanted.values()))
+        return stratified_sample_by(pool, [target], _targets(pool, target, wanted), f"{seed}-{part}", row_id, content)
 
     train = draw(samples, "train")
-    rest = exclude_by_content(samples, train, content, sizes["train_pos"] + sizes["train_neg"])
+    rest = exclude_by_content(samples, train, content)
     return train.withColumn("part", F.lit("train")).unionByName(draw(rest, "val").withColumn("part", F.lit("val")))
 
 
@@ -174,8 +165,7 @@ def balanced_kb(sources: dict[str, DataFrame], pos: int, neg: int, seed: int | s
         every = part if every is None else every.unionByName(part, allowMissingColumns=True)
     names = F.explode(F.array(*[F.lit(name) for name in sources]))
     targets = _targets(every, target, {1: pos, 0: neg}).select(names.alias("kb_source"), target, "target_n")
-    return stratified_sample_by(every, ["kb_source", target], targets, seed, row_id, content,
-                                at_most=len(sources) * (pos + neg))
+    return stratified_sample_by(every, ["kb_source", target], targets, seed, row_id, content)
 
 
 def sample_report(samples: DataFrame, *by: str) -> DataFrame:
@@ -190,8 +180,7 @@ def evaluation_set(samples: DataFrame, size: int, seed: int | str, row_id: str,
     """
     positives = samples.where(F.col(target) == 1)
     room = positives.agg(F.greatest(F.lit(size) - F.count("*"), F.lit(0)).cast("bigint").alias("target_n"))
-    negatives = stratified_sample_by(samples.where(F.col(target) == 0), [], room, seed, row_id, content, cwe, project,
-                                     at_most=size)
+    negatives = stratified_sample_by(samples.where(F.col(target) == 0), [], room, seed, row_id, content, cwe, project)
     return positives.unionByName(negatives)
 
 

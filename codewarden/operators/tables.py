@@ -46,31 +46,38 @@ def fetch_by_key(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def replace_keyed(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Existing rows whose key does not come in, plus the incoming rows; doing it twice changes nothing."""
+def replace_keyed(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Existing rows whose key does not come in, plus the incoming rows; doing it twice changes nothing.
+
+    With `order` only the last incoming row of a key counts.
+    """
+    incoming = latest_per_key(incoming, key, order) if order else incoming
     kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
 
-def write_results(tasks: DataFrame, results: DataFrame, batch: DataFrame, payload: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+def write_results(tasks: DataFrame, results: DataFrame, batch: DataFrame, payload: Iterable[str],
+                  order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """New task and result tables after a batch of (vuln_id, outcome, status, payload columns).
 
     Results of every task in the batch go away, successful ones come back with new values; each
-    task takes the status of the batch.
+    task takes the status of the batch.  Where a task stands twice its last row by `order` counts.
     """
+    if order:
+        batch = latest_per_key(batch, "vuln_id", order)
     touched = batch.select("vuln_id").distinct()
     success = batch.where(F.col("outcome") == "success").select("vuln_id", *payload)
     kept = results.join(touched, "vuln_id", "left_anti")
     new_results = kept.unionByName(success, allowMissingColumns=True)
-    status = batch.groupBy("vuln_id").agg(F.max_by("status", "seq").alias("_status")) if "seq" in batch.columns \
-        else batch.groupBy("vuln_id").agg(F.max("status").alias("_status"))
+    status = batch.groupBy("vuln_id").agg(F.max("status").alias("_status"))
     new_tasks = tasks.join(status.withColumnRenamed("vuln_id", "id"), "id", "left").withColumn(
         "status", F.coalesce("_status", "status")).drop("_status")
     return new_tasks, new_results
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Full outer merge by key; incoming values win where a row comes in."""
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Full outer merge by key; incoming values win where a row comes in, the last by `order` of a key."""
+    incoming = latest_per_key(incoming, key, order) if order else incoming
     columns = [c for c in existing.columns if c != key]
     old, new = existing.alias("old"), incoming.withColumn("_new", F.lit(True)).alias("new")
     merged = old.join(new, key, "full_outer")
@@ -142,12 +149,14 @@ def integrity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
          & (F.col("ids_right") == F.col("rows_right")) & (F.col("digest_left") == F.col("digest_right"))).alias("intact"))
 
 
-def id_list_md5(rows: DataFrame, key: str, limit_rows: int = 1_000_000) -> DataFrame:
-    """md5 of all ids joined in id order: the exact check of a small knowledge base.
+def id_list_md5(rows: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """A digest of the ordered id list: the md5 over the md5 of each block of ids.
 
-    It needs the ids in one place, so it is refused above `limit_rows`; use `integrity` there.
+    Blocks are cut by the first hex digits of the id's own md5, so no task holds more than one of
+    16**digits shares of the ids, and the last step sees 16**digits digests at most.
     """
-    if rows.select(key).limit(limit_rows + 1).count() > limit_rows:
-        raise ValueError("too many ids for the ordered digest; use integrity()")
-    ids = F.array_sort(F.collect_list(F.col(key)))
-    return rows.agg(F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), "")).alias("ids_md5"))
+    text = rows.select(F.col(key).alias("_id"), F.md5(F.col(key).cast("string")).alias("_h"))
+    blocks = text.groupBy(F.substring("_h", 1, digits).alias("_b")).agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda i: i.cast("string")), "")).alias("_d"))
+    ordered = F.array_sort(F.collect_list(F.struct("_b", "_d")))
+    return blocks.agg(F.md5(F.array_join(F.transform(ordered, lambda x: x["_d"]), "")).alias("ids_md5"))

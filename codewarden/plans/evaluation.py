@@ -8,6 +8,7 @@ from codewarden.functions.constants import DEFAULT_THRESHOLD
 from codewarden.operators import metrics
 from codewarden.operators.tables import in_split
 from codewarden.session import cut_lineage
+from codewarden.sources.store import stored_threshold
 
 
 def finished(tasks: DataFrame, results: DataFrame, split: str, parity_like: bool = False) -> DataFrame:
@@ -17,9 +18,15 @@ def finished(tasks: DataFrame, results: DataFrame, split: str, parity_like: bool
     return results.join(wanted, "vuln_id")
 
 
-def scored_rows(joined: DataFrame, threshold: float | None) -> DataFrame:
-    """Label, both predictions, score and group of every finished task."""
-    limit = DEFAULT_THRESHOLD if threshold is None else threshold
+def scored_rows(joined: DataFrame, threshold: float | None, meta: DataFrame | None = None) -> DataFrame:
+    """Label, both predictions, score and group of every finished task.
+
+    The threshold is the given one, else the stored one of `meta`, else the default.
+    """
+    limit = F.lit(DEFAULT_THRESHOLD if threshold is None else threshold)
+    if threshold is None and meta is not None:
+        joined = joined.join(F.broadcast(stored_threshold(meta).select(F.col("threshold").alias("_threshold"))), F.lit(True))  # one row
+        limit = F.col("_threshold")
     score = F.coalesce(F.col("calibrated_confidence"), F.lit(0.0))
     return joined.select(
         F.col("ground_truth_label").alias("label"), X.decision_flag(F.col("final_decision")).alias("raw_pred"),
@@ -32,12 +39,13 @@ def outcome_counts(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("label", "raw_pred", "cal_pred", "cwe").agg(F.count("*").alias("rows")))
 
 
-def evaluate(tasks: DataFrame, results: DataFrame, split: str, threshold: float | None = None) -> dict[str, DataFrame]:
+def evaluate(tasks: DataFrame, results: DataFrame, split: str, threshold: float | None = None,
+             meta: DataFrame | None = None) -> dict[str, DataFrame]:
     """Comparison table, AUC, confusion matrix and group breakdown of one split.
 
     The joined rows are read twice: once for the counts, once for the scores.
     """
-    return _reports(scored_rows(finished(tasks, results, split), threshold))
+    return _reports(scored_rows(finished(tasks, results, split), threshold, meta))
 
 
 def _reports(rows: DataFrame) -> dict[str, DataFrame]:

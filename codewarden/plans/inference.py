@@ -5,7 +5,7 @@ Responses arrive as a table (task_id, round, content, logprobs), whatever produc
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import constants as K
@@ -23,10 +23,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 def task_features(tasks: DataFrame, cache: DataFrame, hits: DataFrame) -> DataFrame:
     """Tasks with static facts, text features and retrieval statistics; the hits as one small array."""
     stats = hit_stats(tasks.select(F.col("id").alias("qid")), hits).withColumnRenamed("qid", "id")
-    # A hit takes a line of at least SHORTEST_HIT characters, so later ones cannot reach the text.
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
-    shown = hits.withColumn("_place", place).where(F.col("_place") <= K.RETRIEVED_TEXT_CHARS // P.SHORTEST_HIT + 1)
-    listed = shown.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(
+    # The list of a task is as long as the search returns hits for it.
+    listed = hits.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(
         F.struct("rank", "original_id", "label", "similarity"))).alias("hits"))
     rows = decode_features(with_static_cache(tasks, cache))
     rows = rows.join(stats, "id").join(listed, "id", "left")
@@ -40,12 +38,12 @@ def task_features(tasks: DataFrame, cache: DataFrame, hits: DataFrame) -> DataFr
     })
 
 
-def make_prompts(features: DataFrame, few_shot: str = "", low_density: float = 0.3) -> DataFrame:
-    """(id, prompt)."""
+def make_prompts(features: DataFrame, few_shot: str = "", low_density: float = 0.3, system: str = "") -> DataFrame:
+    """(id, prompt), as sent: after the system text, if there is one, and without control characters."""
     rules = P.constraint_text(F.col("source_type"), F.col("has_flow"), F.col("density"), low_density)
     prompt = P.audit_prompt(F.col("code"), F.col("complexity"), F.col("density"), F.col("evidence"),
                             P.hits_text(F.col("hits")), rules, few_shot)
-    return features.select("id", prompt.alias("prompt"))
+    return features.select("id", P.as_sent(prompt, system).alias("prompt"))
 
 
 def native_score(rows: DataFrame) -> DataFrame:
@@ -95,8 +93,8 @@ def score_round1(features: DataFrame, responses: DataFrame, scorer: Scorer = nat
 def make_rebuttals(round1: DataFrame, prompts: DataFrame) -> DataFrame:
     """(id, reason, prompt) for the tasks that get a second round."""
     asked = round1.where(F.col("reason").isNotNull()).select("id", "reason", "evidence", "score")
-    return asked.join(prompts, "id").select("id", "reason", P.rebuttal_prompt(
-        F.col("prompt"), F.col("evidence"), F.col("score")).alias("prompt"))
+    return asked.join(prompts, "id").select("id", "reason", P.as_sent(P.rebuttal_prompt(
+        F.col("prompt"), F.col("evidence"), F.col("score"))).alias("prompt"))
 
 
 def finalise(features: DataFrame, responses: DataFrame, scorer: Scorer = native_score, weak_below: float = 0.5,
