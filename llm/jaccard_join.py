@@ -122,6 +122,7 @@ def allocate(live: DataFrame) -> DataFrame:
     n, seg = F.shiftright("part", 32), F.shiftright(F.col("part").bitwiseAND((1 << 32) - 1), 2)
     role, less = F.shiftright("part", 1).bitwiseAND(1), F.col("part").bitwiseAND(1)
     rows = live.select("key", "node", "others", n.alias("n"), seg.alias("seg"), role.alias("role"), less.alias("less"))
+    rows = rows.repartition("node")  # serves all windows below; a node has no more keys than tokens
     rows = rows.join(F.broadcast(table.select("low", "top", "m", "deep")),
                      F.when(F.col("role") == 0, F.col("n") >= F.col("low")).otherwise(F.col("n") > F.col("top"))
                      & F.when(F.col("role") == 0, F.col("n") <= F.col("top")).otherwise(F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)) <= F.col("top")))
@@ -137,7 +138,8 @@ def allocate(live: DataFrame) -> DataFrame:
     rows = (rows.withColumn("need", total - (F.col("m") - F.size(one)) - (F.col("deep") - F.size(two)))
             .withColumn("rank", F.dense_rank().over(set_.orderBy("cost", "less", "seg")))
             .withColumn("probe", F.col("rank") <= F.col("need")))
-    return (rows.where((F.col("role") == 0) | F.col("probe"))
+    return (rows.where((F.col("role") == 0) | F.col("probe")).select("key", "node", "probe", "role", "n")
+            .repartition("key")  # for the groups to come, too
             .groupBy("key", "node").agg(F.max("probe").alias("probe"), F.max(F.col("role") == 0).alias("indexed"), F.max("n").alias("n")))
 
 
