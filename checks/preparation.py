@@ -140,6 +140,11 @@ SELECT 'val_' || CASE WHEN id % 4 = 0 THEN 'unk' ELSE 'c' || id END || '_' || id
   'Pending' AS status
 FROM ({A}) WHERE id % 5 <> 2""")
 def k2(spark, folder):
+    tasks = N.import_tasks(task_records(spark, folder), "val")
+    return tasks.select("name", "commit_id", F.md5("code").alias("code_md5"), "ground_truth_label", "cwe_id", "status")
+
+
+def task_records(spark, folder):
     raw = with_json(every_sample(spark, folder), {
         "commit_id": "CASE WHEN id % 4 = 0 THEN '' ELSE concat('c', id) END",
         "func": "CASE WHEN id % 2 = 0 THEN func ELSE '' END", "code": "func",
@@ -147,8 +152,13 @@ def k2(spark, folder):
                  CASE id % 6 WHEN 0 THEN concat(',"cwe":["', cwe, '"],"cwe_id":"no"') WHEN 1 THEN concat(',"cwe":"', cwe, '"')
                    WHEN 2 THEN concat(',"cwe":[],"cwe_id":"', project, '"') WHEN 3 THEN concat(',"cwe":"","cwe_id":["', project, '"]')
                    WHEN 4 THEN ',"cwe":null,"cwe_id":[]' ELSE '' END)""")
-    tasks = N.import_tasks(raw.withColumn("line_index", F.col("id")), "val")
-    return tasks.select("name", "commit_id", F.md5("code").alias("code_md5"), "ground_truth_label", "cwe_id", "status")
+    return raw.withColumn("line_index", F.col("id"))
+
+
+@R.add("k2_rejected_tasks", f"""
+SELECT 'val_' || CASE WHEN id % 4 = 0 THEN 'unk' ELSE 'c' || id END || '_' || id AS name FROM ({A}) WHERE id % 5 = 2""")
+def k2r(spark, folder):
+    return N.import_with_rejects(task_records(spark, folder), "val")[1].select("name")
 
 
 KB_FRAGMENTS = """concat(

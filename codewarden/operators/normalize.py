@@ -94,11 +94,17 @@ def unpivot_fixes(records: DataFrame, record: str = "record") -> DataFrame:
 
 def import_tasks(records: DataFrame, split: str, record: str = "record", index: str = "line_index") -> DataFrame:
     """Task rows; a null or unreadable label drops the record, a missing one counts as 0."""
+    return import_with_rejects(records, split, record, index)[0]
+
+
+def import_with_rejects(records: DataFrame, split: str, record: str = "record",
+                        index: str = "line_index") -> tuple[DataFrame, DataFrame]:
+    """Task rows, and those that `import_tasks` drops."""
     cwe = F.coalesce(*[F.when(loose.truthy(n), loose.scalar_or_first(n)) for n in ("cwe", "cwe_id")])
     commit = F.coalesce(loose.truthy_text("commit_id"), F.lit("unk"))
     code = F.coalesce(loose.truthy_text("func"), loose.text("code"), F.lit(""))
     rows = loose.unpack(records, record, "commit_id", "func", "code", "target", "cwe", "cwe_id")
-    return rows.select(
+    return split_rejects(rows.select(
         text.task_name(F.lit(split), commit, F.col(index)).alias("name"),
         commit.alias("commit_id"),
         code.alias("code"),
@@ -106,7 +112,7 @@ def import_tasks(records: DataFrame, split: str, record: str = "record", index:
         F.coalesce(cwe, F.lit("N/A")).alias("cwe_id"),
         F.lit("Pending").alias("status"),
         F.lit(split).alias("split"),
-    ).where(F.col("ground_truth_label").isNotNull())
+    ), "ground_truth_label")
 
 
 def new_tasks(imported: DataFrame, stored: DataFrame) -> DataFrame:
