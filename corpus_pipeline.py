@@ -22,27 +22,32 @@ from llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from llm.queries import table
 
 
+def as_one(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as one column, so that no name of an extra column can clash."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    scored = toxicity.score_documents(docs, table(spark, folder, "labels"), keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_documents(as_one(docs), table(spark, folder, "labels"), keep=("_row",))
+    return scored.where("predicted = 0").select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).where("size(removed) = 0 OR text rlike '[^\\\\x09-\\\\x0D\\\\x20]'")
-    changed = F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.select(*(changed.alias(c) if c == "n_chars" else c for c in docs.columns))
+    left = line_dedup.dedup_lines(as_one(docs)).where("size(removed) = 0 OR text rlike '[^\\\\x09-\\\\x0D\\\\x20]'")
+    size = F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return left.select(F.col("_row").withField("text", F.col("text")).withField("n_chars", size).alias("_row")).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without words are in no group and stay; of rows that repeat a kept doc_id all stay."""
     found = jaccard_join.near_duplicates(docs)
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    judged = decontaminate.decontaminate(docs, table(spark, folder, "benchmark"), keep=tuple(docs.columns))
-    return judged.where("NOT contaminated").select(*docs.columns)
+    judged = decontaminate.decontaminate(as_one(docs), table(spark, folder, "benchmark"), keep=("_row",))
+    return judged.where("NOT contaminated").select("_row.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ Method: universe partition and pigeonhole (`segments`), one-deletion neighbourho
 cost that keys have in the corpus, exact verification on the sets.
 
 1. Each text becomes a set of 64-bit shingle hashes and a 128-bit hash of the set.  Equal sets are one
-   node from here on (`blocks` drop theirs before the shuffle), so exact copies cost nothing further.
+   node from here on (each input split sends it once), so exact copies cost nothing further.
 2. All keys meet in one shuffle; keys of a single node, nearly all, end there.
 3. A node probes by its cheapest keys.  A key that nobody shares is free, so most nodes that have no
    similar partner are done here.
@@ -88,13 +88,14 @@ def prints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def key_rows(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(key, node, part): part packs set size, segment, whether it only probes, whether a token is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of the documents of one input split
         for batch in words.blocks(batches):
             tokens, sizes = shingle_sets(batch.column(0), width)
             h1, _ = set_hashes(tokens, sizes)
-            _, once = np.unique(h1, return_index=True)
             kept = np.zeros(len(sizes), dtype=bool)
-            kept[once] = True
-            kept &= sizes > 0
+            for i, h in enumerate(h1.tolist()):
+                kept[i] = sizes[i] > 0 and h not in seen
+                seen.add(h)
             tokens = tokens[np.repeat(kept, sizes)]
             node, size = h1[kept], sizes[kept]
             own = segments.band_of(size)

@@ -118,11 +118,6 @@ def scan(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, templates: t
                     F.when(F.size("starts") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score")))
 
 
-def oracle_sql(base: tuple[tuple[str, str], ...] = BASE, templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> None:
-    """Votes by IDF rank have no plain SQL form; `tests/llm` holds the scan against brute force."""
-    return None
-
-
 def matches(text: str | None, phrase: str) -> list[int]:
     """Plain form of `places` for tests."""
     words = re.findall(WORD, (text or "").translate(str.maketrans(UPPER, LOWER)))

@@ -33,7 +33,7 @@ END = 0
 CACHED_WORDS = 400_000  # words whose ids a worker keeps; it starts anew beyond
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # White space beside single blanks and line ends inside the text: such texts are encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

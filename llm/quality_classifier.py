@@ -131,12 +131,11 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
             small = [s.astype("<i4").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(small, pa.binary())], names=["label", "buckets"])
 
-    each = [rows.where(F.col("label") > 0), rows.where(F.col("label") <= 0)]
-    bounds = [min(sample // 2, int(docs[1])), min(sample // 2, int(docs[0]))]
     picked = []
-    for part, most in zip(each, bounds, strict=True):
-        order = part.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked.append(rows.join(F.broadcast(order.select("doc_id").distinct()), "doc_id", "left_semi"))
+    for part in (rows.where(F.col("label") > 0), rows.where(F.col("label") <= 0)):
+        ids = part.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
+        # A doc_id that stands in many rows is one document of the sample.
+        picked.append(part.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")))
     found = picked[0].unionByName(picked[1]).select("text", "label").mapInArrow(run, "label int, buckets binary").collect()
     found.sort(key=lambda r: (r["buckets"], r["label"]))
     sets = [np.frombuffer(r["buckets"], dtype="<i4").astype(np.int64) for r in found]

@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.session import cut_lineage
 from llm import words
 from llm.tables import join_labels, remainder
 
@@ -216,11 +215,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     rows = join_labels(docs.select("doc_id", "text"), labels.where(~out), value, "left")
     model = train(rows)
-    found = cut_lineage(evidence(docs.withColumn("held_out", out), model, [*keep, "held_out"]))
-    taught = join_labels(found.select("doc_id", "held_out", "evidence"), labels, value).where(~F.col("held_out"))
+    taught = evidence(rows.where("label IS NOT NULL"), model, ["label"])
     place = F.least(F.floor(F.col("evidence") / EVIDENCE_STEP), F.lit(EVIDENCE_BINS - 1)).alias("bin")
     a, b = curve([tuple(r) for r in taught.groupBy(place, F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
                   .agg(F.count("*").alias("n")).collect()])
+    found = evidence(docs.withColumn("held_out", out), model, [*keep, "held_out"])
     capped = F.least(F.col("evidence"), F.lit(EVIDENCE_BINS * EVIDENCE_STEP))
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * capped)))
     return (found.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 LONG_WORD = 256  # bytes; longer words are hashed one by one
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -26,3 +26,15 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumns({c: F.lit(1) for c in ("spans", "items", "removed", "text_hash", "held_out", "predicted", "contaminated", "component_id", "class")})
+    docs = docs.withColumns({"source": F.lit(None).cast("string"), "n_chars": F.char_length("text").cast("long")})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert {r.text for r in out.collect()} <= {r.text for r in docs.collect()}
+    assert C.pack_documents(spark, docs, "/root/testdata/sf0.001").count() >= docs.count()
