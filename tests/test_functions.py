@@ -169,3 +169,9 @@ def test_hits_text_cap_and_empty(spark):
     df = spark.createDataFrame([([(r, o, s, lab) for r, o, s, lab in hits],), ([],)], "h array<struct<rank:int,original_id:string,similarity:double,label:string>>")
     got = [r[0] for r in df.select(P.hits_text(F.col("h"))).collect()]
     assert len(got[0]) == 2000 and got[0].startswith("[Ref:kb0001 | Sim:99%] BENIGN\n") and got[1] == K.NO_HITS_TEXT
+
+
+def test_prompts_are_sent_without_control_characters(spark):
+    rows = spark.createDataFrame([("a\x00b\x1f\tc\r\nd\x7f",)], "p string")
+    got = rows.select(P.as_sent(F.col("p")).alias("plain"), P.as_sent(F.col("p"), "be\x01 brief").alias("named")).first()
+    assert got.plain == "ab\tc\r\nd" and got.named == "System: be brief\nUser: ab\tc\r\nd"

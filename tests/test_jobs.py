@@ -164,3 +164,24 @@ def test_batch_written_twice_stays_once(spark, tmp_path):
     sink(batch, 3)
     sink(batch, 4)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2 and ST.current_results(spark, str(tmp_path / "log")).count() == 1
+
+
+def test_stored_threshold_is_used_unless_one_is_given(spark):
+    from codewarden.plans import evaluation as E
+
+    joined = spark.createDataFrame([(1, "BENIGN", 0.4, "x")], "ground_truth_label int, final_decision string, calibrated_confidence double, task_cwe string")
+    meta = spark.createDataFrame([(0.3,)], "best_threshold double")
+    assert [E.scored_rows(joined, t, m).first().cal_pred for t, m in ((None, None), (None, meta), (0.5, meta))] == [0, 1, 0]
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from codewarden.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(fake)
