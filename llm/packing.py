@@ -30,7 +30,7 @@ from codewarden.session import cut_lineage
 SEQUENCE = 1024
 GRAIN = 4
 END = 0
-CACHED_WORDS = 400_000  # words whose ids a worker keeps; it starts anew beyond
+CACHED_WORDS, CACHED_CORES = 400_000, 1_000_000  # words and their parts whose ids a worker keeps; it starts anew beyond
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
 SLICE_BYTES = 2 << 20
@@ -100,7 +100,7 @@ class Encoder:
             pieces[w] = out = [p for p in out if p[1]]
             for first, p in out:
                 (opened if first else bare).add(p)
-        if len(self.cores) + len(self.bare) > CACHED_WORDS:
+        if len(self.cores) + len(self.bare) > CACHED_CORES:
             self.cores.clear()
             self.bare.clear()
         self.cores.update(self._opened([p for p in opened if p not in self.cores]))
