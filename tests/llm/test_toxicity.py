@@ -57,3 +57,24 @@ def test_odd_rows(odd, none, labels_of):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert T.score_documents(none, labels_of(labels)).count() == 0
     assert all(r.predicted == 0 for r in T.score_documents(odd, labels_of(rows)).collect())
+
+
+def test_rare_vocabulary_of_one_language_is_found(docs_of, labels_of):
+    """Toxic words that stand in few labelled documents each, as those of a language with few labels."""
+    rng = random.Random(3)
+    rows, labels, rare = [], [], set()
+    for i in range(1500):
+        w = [f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(rng.randrange(20, 60))]
+        kind = i % 10
+        if kind == 0:
+            w[5:5] = ["vilemo", "vilesse", "scumly"]
+        elif kind == 1:
+            w[5:5] = rng.sample([f"achl{c}xen" for c in "abcdefghijklmnopqrst"], 3)
+            rare.add(i)
+        elif kind < 6:
+            w[5:5] = [f"achl{rng.choice('abcdefghijklmnopqrst').upper()}y{rng.randrange(9)}"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(kind < 2)))
+    held = [r for r in T.score_documents(docs_of(rows), labels_of(labels)).collect() if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id in rare]) > 0.8
+    assert np.mean([r.predicted for r in held if r.doc_id % 10 > 1]) < 0.03
