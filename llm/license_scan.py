@@ -1,9 +1,9 @@
 """License scan: a positional index of rare licence words, in DataFrame functions alone.
 
 1. Every text is split once; kept are the places of the index's words and of the base phrases.
-2. Document frequencies of these words over all documents give their IDF.  Each file looks up its RARE
-   highest-IDF words in the postings of the templates; a posting at place t for a word at place p votes for
-   the template to begin at p - t.  Votes for one beginning meet in one group of at most RARE words.
+2. Document frequencies of these words over all documents give their IDF.  Each template is posted under
+   its own RARE highest-IDF words, and all places of these words in a file are looked up, whatever else the
+   file holds; a posting at place t for a word at place p votes for the template to begin at p - t.
 3. A template is found where its voting words hold at least SHARE of the IDF of its own indexed words, and
    its key phrases stand there word by word.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions.once import pin
@@ -94,10 +94,7 @@ def scan(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, templates: t
     facts = spark.createDataFrame(needed, "template int, label string, whole double, phrase int, phrase_at int")
 
     words = rows.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode("hits").alias("h")).select("doc_id", "text_hash", "h.word", "h.pos").distinct()
-    rarest = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("own"), "word")
-    weights = spark.createDataFrame(list(weight.items()), "word string, own double")
-    looked = words.join(F.broadcast(weights), "word").withColumn("rank", F.dense_rank().over(rarest)).where(F.col("rank") <= rare)
-    votes = (looked.join(F.broadcast(postings), "word").groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("begin"))
+    votes = (words.join(F.broadcast(postings), "word").groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("at")).alias("begin"))
              .agg(F.sum("idf").alias("held")))
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("phrase"), F.col(f"key{k}").alias("starts")) for k in range(len(phrases))))).alias("k")
     stands = rows.where(F.size("hits") > 0).select("doc_id", "text_hash", keys).select("doc_id", "text_hash", "k.phrase", F.explode("k.starts").alias("start")).distinct()

@@ -49,3 +49,12 @@ def test_licences(odd, none, docs_of):
     for i, text in rows:
         n = len(re.findall(S.WORD, (text or "").lower()))
         assert got[i, n][0] == sum(len(S.matches(text, p)) for p, _ in S.BASE)
+
+
+def test_several_licences_in_one_file(docs_of):
+    parts = ["Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "Released under the MIT License",
+             "Licensed under the GNU General Public License version 3", S.TEMPLATES[1][1], S.TEMPLATES[5][1]]
+    rows = [(1, "\n\n".join(parts)), (2, f"binary charge obtaining software unencumbered mozilla lesser hereby {parts[2]}")]
+    rows += [(k, "plain words") for k in range(3, 40)] + [(k, p) for k, p in enumerate(parts, 40)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in S.scan(docs_of(rows)).collect()}
+    assert got[1] == {"apache-2.0", "cc-by", "cc-by-nc-4.0", "mit", "gpl", "gpl-3.0", "bsd", "isc"} and got[2] == {"mit"}
