@@ -1,21 +1,22 @@
 """Removal of lines that stand, the same or nearly, in an earlier place of the corpus.
 
-Two lines are near when one edit of a word (another word, one more, one less) makes one the other.  A line
-is removed when a near or equal line stands in a document of smaller doc_id, or earlier in its own.
+Two lines of at least NEAR_WORDS words are near when one edit of a word (another word, one more, one less)
+makes one the other; shorter lines repeat by being equal alone.  A line is removed when a near or equal line
+stands in a document of smaller doc_id, or earlier in its own.
 
 Method: deletion neighbourhood.  Dropping one word of either line leads two near lines to a common
 variant.  A variant's key holds what tells the cases apart - the place of the word left out, or that
 nothing is - and each join of equal variants is verified by the edit distance of the words themselves.
 
-1. Each line of at least MIN_WORDS words is a row of hashes; equal lines become one class, its earliest
+1. Each line that has a word is a row of hashes; equal lines become one class, its earliest
    place found by minima that combine before the shuffle.
-2. Near lines share their first or their last half.  Only classes that share a half with another one,
+2. Near lines share their first or their last half.  Only classes of long lines that share a half with another one,
    few in any corpus, are read again and send out all their variants.
 3. Within a variant each class meets the earliest ones only (of full lines, of lines less a word), not
    all; whether an earlier near line exists needs no more.
 4. Documents with lines to remove are rebuilt; all others pass unchanged.
 
-Lines are split at \\n; words are what ASCII white space leaves, A-Z lower-cased.  Shorter lines stay.
+Lines are split at \\n; words are what ASCII white space leaves, A-Z lower-cased.  Lines without words stay.
 Nulls and ties: null texts and rows with a null doc_id stay as they are, and remove nothing.  Rows that
 share a doc_id are one document whose order is unknown: they don't remove each other's lines.  A text
 whose lines all go becomes empty.  Other columns pass through.
@@ -35,7 +36,13 @@ from codewarden.session import cut_lineage
 from llm import words
 from llm.jaccard_join import SIEVE_BITS, sieve
 
-MIN_WORDS = 20
+NEAR_WORDS = 20  # of a line that may go for a near one; one word of a shorter line says more
+
+
+def least(min_words: int | None) -> tuple[int, int]:
+    """Words of a line that takes part, and of one that has near lines."""
+    return (1, NEAR_WORDS) if min_words is None else (min_words, min_words)
+
 
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 _HALVES = [np.uint64(k) for k in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407)]
@@ -118,8 +125,11 @@ def line_keys(lines: Lines) -> np.ndarray:
 LINE = "text_hash long, line int, n int, h long, p1 long, s1 long, p2 long, s2 long"
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, line, n, h, halves) of each first occurrence in its document; later ones have n = 0."""
+def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """(doc_id, text_hash, line, n, h, halves) of each first occurrence in its document; later ones have n = 0.
+
+    Lines under `near_words` have no halves.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.blocks(batches):
             found = lines_of(batch.column(2), min_words)
@@ -127,9 +137,9 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
             n = np.zeros(len(keys), dtype=np.int32)
             _, once = np.unique(words.mix(keys[:, 0] + found.doc.astype(np.uint64) * _PLACE), return_index=True)
             n[once] = (found.high - found.low)[once]
-            picked, keyed = pa.array(found.doc), keys.view(np.int64)
+            picked, keyed, short = pa.array(found.doc), keys.view(np.int64), found.high - found.low < near_words
             yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(found.number.astype(np.int32)), pa.array(n),
-                                              *(pa.array(keyed[:, k].copy()) for k in range(5))], names=["doc_id", *(c.split()[0] for c in LINE.split(", "))])
+                                              *(pa.array(keyed[:, k].copy(), mask=short if k else None) for k in range(5))], names=["doc_id", *(c.split()[0] for c in LINE.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -148,11 +158,11 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) == len(b)):] == b[k + 1:]
 
 
-def near_classes(docs: DataFrame, classes: DataFrame, min_words: int) -> DataFrame:
+def near_classes(docs: DataFrame, classes: DataFrame, near_words: int) -> DataFrame:
     """(h) of the classes that have an earlier near class.  `classes`: h, doc_id, line and the halves."""
     half = F.explode(F.array(F.col("p1"), F.col("s1"), F.col("p2"), F.col("s2"))).alias("half")
     group = Window.partitionBy("half")
-    shared = (classes.select("h", half).withColumn("low", F.min("h").over(group)).withColumn("high", F.max("h").over(group))
+    shared = (classes.where("p1 IS NOT NULL").select("h", half).withColumn("low", F.min("h").over(group)).withColumn("high", F.max("h").over(group))
               .where("low <> high").select("h").distinct())
     asked = cut_lineage(classes.join(shared, "h", "left_semi").select("h", "doc_id", "line"))
     bits = docs.sparkSession.sparkContext.broadcast(sieve(asked, "doc_id"))
@@ -163,7 +173,7 @@ def near_classes(docs: DataFrame, classes: DataFrame, min_words: int) -> DataFra
             hit = pa.array(((bits.value[place >> 6] >> (place & 63)) & 1) == 1)
             batch = pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in (0, 1)], names=["doc_id", "text"])
             for some in words.blocks(iter([batch])):
-                found = lines_of(some.column(1), min_words)
+                found = lines_of(some.column(1), near_words)
                 content = [b" ".join(map(found.block.word, range(low, high))) for low, high in zip(found.low, found.high, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(found.doc)), pa.array(found.number.astype(np.int32)),
                                                   pa.array(line_keys(found)[:, 0].copy().view(np.int64)), pa.array(content, pa.binary())],
@@ -206,14 +216,15 @@ def near_classes(docs: DataFrame, classes: DataFrame, min_words: int) -> DataFra
     return both.mapInArrow(confirmed, "h long").distinct()
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     """(doc_id, text_hash, removed): line numbers, from 0, that go from each document."""
-    every = cut_lineage(lines(docs, min_words))
+    min_words, near_words = least(min_words)
+    every = cut_lineage(lines(docs, min_words, near_words))
     named = every.where("n > 0")
     first = named.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("uses"))
     once = named.join(first.drop("uses"), ["h", "doc_id"]).groupBy("h", "doc_id").agg(
         F.min("line").alias("line"), *(F.first(c).alias(c) for c in ("p1", "s1", "p2", "s2")))
-    near = cut_lineage(near_classes(docs, once, min_words))
+    near = cut_lineage(near_classes(docs, once, near_words))
     gone = (first.where("uses > 1").select("h", F.col("doc_id").alias("kept")).join(near.withColumn("near", F.lit(True)), "h", "full"))
     hit = named.join(gone, "h").where("near OR doc_id > kept")
     again = every.where("n = 0")
@@ -221,8 +232,12 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with their text less the removed lines, and removed: the numbers of those lines (empty: unchanged)."""
+def dedup_lines(docs: DataFrame, min_words: int | None = None) -> DataFrame:
+    """`docs` with their text less the removed lines, and removed: the numbers of those lines (empty: unchanged).
+
+    Lines under `min_words` stay; without it all lines that have a word take part, and those under NEAR_WORDS
+    go for equal lines alone.
+    """
     gone = removed_lines(docs, min_words)
     columns = [c for c in docs.columns if c not in ("removed", "text_hash")]
     rows = docs.select(*columns).withColumn("text_hash", F.xxhash64("text"))

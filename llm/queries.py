@@ -74,7 +74,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of 20 words or more that an earlier place holds, the same or one word apart."""
+    """Lines that an earlier place holds, the same or (from 20 words on) one word apart."""
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
                       F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))

@@ -53,3 +53,10 @@ def test_odd_rows(odd, none, docs_of):
     assert L.dedup_lines(none).count() == 0
     same = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (2, "q\na b c d e x")])  # rows of one id don't remove each other's
     assert sorted((r.doc_id, r.text) for r in L.dedup_lines(same, 5).collect()) == [(1, "a b c d e f"), (1, "a b c d e f"), (2, "q")]
+
+
+def test_short_lines_go_when_equal(docs_of):
+    long = " ".join(f"w{k}" for k in range(24))
+    rows = [(1, f"Read more\n\nx\n{long}"), (2, f"read  MORE\n\nown words\nx\n{long} z"), (3, "own word\nx\nx"), (4, "Read more\nRead less")]
+    got = {r.doc_id: list(r.removed) for r in L.dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: [], 2: [0, 3, 4], 3: [1, 2], 4: [0]}
