@@ -58,3 +58,9 @@ def test_several_licences_in_one_file(docs_of):
     rows += [(k, "plain words") for k in range(3, 40)] + [(k, p) for k, p in enumerate(parts, 40)]
     got = {r.doc_id: set(r.labels.split(",")) for r in S.scan(docs_of(rows)).collect()}
     assert got[1] == {"apache-2.0", "cc-by", "cc-by-nc-4.0", "mit", "gpl", "gpl-3.0", "bsd", "isc"} and got[2] == {"mit"}
+
+
+def test_lead_outside_the_largest_container_stays():
+    page = "<body><div class=content><div class=lead><p>{}</p></div><div class=text><section><p>{}</p></section><section><p>{}</p></section></div></div></body>"
+    parts = ["lead " * 25, "first " * 20, "second " * 80]
+    assert H.main_blocks(page.format(*parts)) == [p.strip() for p in parts]
