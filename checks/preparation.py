@@ -387,7 +387,7 @@ def minus_sql(pool: str, ids: str) -> str:
 def j7(spark, folder):
     rows = samples(spark, folder)
     taken = G.stratified_sample(rows, 120, 42, "id", CONTENT)
-    return G.exclude_by_content(rows, taken, CONTENT, 120).select("id")
+    return G.exclude_by_content(rows, taken, CONTENT).select("id")
 
 
 TP, TN = sample_sql(POS, "20", "42-train"), sample_sql(NEG, "60", "42-train")
