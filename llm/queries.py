@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import (decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, packing, quality_classifier, quality_rules,
+from llm import (decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules,
                  toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,12 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and verification of all documents."""
+    return merkle.verify(merkle.proofs(table(spark, folder, "documents")))
+
+
+ORACLE["op13_merkle_manifest"] = merkle.oracle_sql()
