@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import (decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules,
-                 toxicity, url_filter)
+from llm import (collocations, decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, merkle, packing,
+                 quality_classifier, quality_rules, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,6 +119,15 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id"""
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phrases of each language in all documents."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op11_phrase_collocations"] = collocations.oracle_sql()
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, roots, proof and verification of all documents."""
