@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import (collocations, decontaminate, html_extraction, jaccard_join, license_scan, line_dedup, merkle, packing,
+from llm import (collocations, decontaminate, html_extraction, jaccard_join, language_model, license_scan, line_dedup, merkle, packing,
                  quality_classifier, quality_rules, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 ORACLE["op11_phrase_collocations"] = collocations.oracle_sql()
 
 
+@query
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents; the fold 1 of 5 does not teach."""
+    return language_model.scored(table(spark, folder, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, roots, proof and verification of all documents."""
