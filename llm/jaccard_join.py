@@ -16,7 +16,8 @@ Pairs of a group in different components are compared in full, so no link betwee
 pairs inside one component add nothing and are left out.
 
 Nulls and ties: a null or empty text has no shingles and is linked with nothing; so is a null doc_id (its
-component is null).  Rows are judged one by one, also repeated ones; other columns are kept.
+component is null).  Rows are judged one by one, also repeated ones; columns named in `keep` come along,
+others are not read.
 """
 
 from __future__ import annotations
@@ -73,16 +74,16 @@ def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def prints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2) of every document."""
+def prints(docs: DataFrame, width: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2) of every document, and the columns to keep."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.blocks(batches):
             tokens, sizes = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, set_hashes(tokens, sizes))],
-                                             names=["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, set_hashes(tokens, sizes)), *batch.columns[2:]],
+                                             names=["doc_id", "n_shingles", "h1", "h2", *keep])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PRINT}")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *keep)}
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", PRINT, *[f"`{c}` {kinds[c]}" for c in keep]]))
 
 
 def key_rows(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -286,9 +287,9 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> Da
     return components(edges.unionByName(more).unionByName(in_blocks(members)))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """`docs` with n_shingles, and component_id: the smallest doc_id that links reach (its own included)."""
-    rows = cut_lineage(prints(docs, width))
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `keep` columns, n_shingles, and component_id: the smallest doc_id that links reach (its own included)."""
+    rows = cut_lineage(prints(docs, width, keep))
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut_lineage(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
                           .withColumn("class", class_of("h1", "h2")))
@@ -298,4 +299,4 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     answer = named.join(least, "component").select("h1", "h2", "component_id")
     out = rows.join(answer, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
+    return out.select("doc_id", *keep, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
