@@ -38,3 +38,23 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, odd):
         assert out.columns == docs.columns, name
         assert {r.text for r in out.collect()} <= {r.text for r in docs.collect()}
     assert C.pack_documents(spark, docs, "/root/testdata/sf0.001").count() >= docs.count()
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_text(spark):
+    """A near copy goes; another row of its doc_id, with a text of its own, stays."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text + " z", "b"), (2, "a text that nobody else has written so far", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = C.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.source for r in left.collect()) == ["a", "c"]
+
+
+def test_only_the_last_table_stays(spark):
+    import glob
+
+    from codewarden.session import shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*/*"))
+    C.run(spark, "/root/testdata/sf0.001")
+    new = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*/*")) - before
+    assert [p.rsplit("-", 1)[1] for p in new] == ["packing"]
