@@ -1,6 +1,6 @@
 """Retrieval, calibration and streaming."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,12 +11,20 @@ from codewarden.functions.constants import FEATURE_NAMES
 from codewarden.functions.text import clip_for_embedding, is_blank, unit_vector
 from codewarden.operators import retrieval as V
 from codewarden.operators import tables as T
+from codewarden.operators.postings import postings_read, search_postings
 from codewarden.plans import calibration as C
+from codewarden.session import shared_folder
+from codewarden.sources.store import read_kb_tables, write_kb_tables
 from codewarden.streaming import results as ST
 
 R = B.Registry()
 
 
+def new_folder(spark, name):
+    """A folder of its own below the one that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark, folder):
     return B.load(spark, folder, "documents")
 
@@ -103,6 +111,11 @@ def benchmark_queries(spark, folder):
     return V.asked_words(B.load(spark, folder, "benchmark"), "item_id", "text")
 
 
+def text_index(spark, folder):
+    """The text index of all documents, stored and read again."""
+    return V.store_text_index(corpus_tokens(spark, folder), new_folder(spark, "text-index"))
+
+
 def six_digits(hits):
     """Rounded by plain arithmetic, which gives the same bits in every engine."""
     return hits.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
@@ -130,6 +143,22 @@ def r2(spark, folder):
     return six_digits(V.bm25_topk(benchmark_queries(spark, folder), corpus_tokens(spark, folder)))
 
 
+@R.add("r2_postings_read", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
+SELECT q.qid, coalesce(sum(df), 0)::BIGINT AS every, true AS within FROM ({QUERIES}) q LEFT JOIN qt ON qt.qid = q.qid LEFT JOIN df ON df.term = qt.term GROUP BY q.qid""")
+def r2p(spark, folder):
+    stored, asked = text_index(spark, folder), benchmark_queries(spark, folder)
+    counts = postings_read(asked, stored["kb_segments"], stored["kb_terms"], 30)
+    return asked.select("qid").join(counts, "qid", "left").select(
+        "qid", F.coalesce("every", F.lit(0)).cast("long").alias("every"), (F.coalesce("read", F.lit(0)) <= F.coalesce("every", F.lit(0))).alias("within"))
+
+
+@R.add("r2_stored_postings", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
+SELECT qid, doc_id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
+def r2m(spark, folder):
+    stored = text_index(spark, folder)
+    return six_digits(search_postings(benchmark_queries(spark, folder), stored["kb_segments"], stored["kb_terms"], 30))
+
+
 @R.add("r2_bm25_topk_grid", f"""WITH {bm25_ctes(CORPUS, QUERIES)}
 SELECT qid, doc_id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 30""")
 def r2g(spark, folder):
@@ -202,6 +231,16 @@ def r4(spark, folder):
     return hits.withColumn("rrf", F.round("rrf", 9))
 
 
+@R.add("r4_stored_index", f"""WITH {hybrid_ctes(gate=PARITY_GATE)}
+SELECT qid, hit AS rank, doc_id, original_id, label, cwe_id, coalesce(similarity, 0.5) AS similarity, round(rrf, 9) AS rrf FROM final""")
+def r4s(spark, folder):
+    """The same from the stored tables: vectors, postings and digests; only the queries' texts are read."""
+    kb, place = kb_frame(spark, folder), new_folder(spark, "knowledge-base")
+    write_kb_tables(V.build_kb_tables(kb), place)
+    hits = V.hybrid_search(kb.select(F.col("doc_id").alias("qid"), "code", "vec"), kb, index=read_kb_tables(spark, place))
+    return hits.withColumn("rrf", F.round("rrf", 9))
+
+
 @R.add("r4_gate_after_leak", f"""WITH {hybrid_ctes(gate=LEAK_GATE)}
 SELECT qid, hit AS rank, doc_id, coalesce(similarity, 0.5) AS similarity FROM final""")
 def r4g(spark, folder):
@@ -300,13 +339,6 @@ def m7(spark, folder):
 
 # --- streaming ---------------------------------------------------------------------------------
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codewarden-")
-    token = spark.range(1).select(F.uuid()).first()[0]
-    return f"{base}/{name}-{token}"
-
-
 def event_stream(spark, folder):
     schema = B.load(spark, folder, "events").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/events.parque[t]")
@@ -315,7 +347,7 @@ def event_stream(spark, folder):
 @R.add("l5_streamed_results", """
 SELECT user_id AS vuln_id, arg_max(event_type, event_id) AS final_decision, arg_max(value, event_id) AS native_confidence FROM events GROUP BY user_id""")
 def l5(spark, folder):
-    base = shared_folder(spark, "results")
+    base = new_folder(spark, "results")
     rows = event_stream(spark, folder).select(
         F.col("user_id").alias("vuln_id"), F.lit("success").alias("outcome"), F.col("event_type").alias("final_decision"),
         F.col("value").alias("native_confidence"), F.col("event_id").alias("seq"))
@@ -327,7 +359,7 @@ def l5(spark, folder):
 SELECT split, count(*) AS total, count(*) FILTER (WHERE status = 'Success') AS completed FROM (
   SELECT user_id, 'split' || user_id % 3 AS split, arg_max(CASE WHEN event_type = 'purchase' THEN 'Success' ELSE 'Pending' END, ts) AS status FROM events GROUP BY ALL) GROUP BY split""")
 def l6(spark, folder):
-    base = shared_folder(spark, "progress")
+    base = new_folder(spark, "progress")
     rows = event_stream(spark, folder).select(
         F.col("user_id").alias("task_id"), F.concat(F.lit("split"), F.col("user_id") % 3).alias("split"),
         F.when(F.col("event_type") == "purchase", F.lit("Success")).otherwise(F.lit("Pending")).alias("status"), "ts")
