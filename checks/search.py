@@ -11,6 +11,7 @@ from codewarden.functions.constants import FEATURE_NAMES
 from codewarden.functions.text import clip_for_embedding, is_blank, unit_vector
 from codewarden.operators import retrieval as V
 from codewarden.operators import tables as T
+from codewarden.operators.cells import build_cells, search_cells
 from codewarden.operators.postings import postings_read, search_postings
 from codewarden.plans import calibration as C
 from codewarden.session import shared_folder
@@ -52,6 +53,15 @@ def r1g(spark, folder):
     return V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True, limits=limits)
 
 
+@R.add("r1_cells_topk", f"SELECT qid, doc_id, rank, score FROM {dense_sql(30)}")
+def r1c(spark, folder):
+    """The same through stored cells; those below a query's floor are not read."""
+    place = new_folder(spark, "cells")
+    write_kb_tables(build_cells(vectors(spark, folder, "doc_id")), place)
+    stored = read_kb_tables(spark, place, ("kb_cells", "kb_cell_vectors"))
+    return search_cells(vectors(spark, folder, "qid"), stored["kb_cells"], stored["kb_cell_vectors"], 30, skip_self=True)[0]
+
+
 @R.add("f7_w4_gate", f"SELECT qid, doc_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM {dense_sql(30)}) WHERE best >= 0.40")
 def f7(spark, folder):
     hits = V.dense_topk(vectors(spark, folder, "qid"), vectors(spark, folder, "doc_id"), 30, skip_self=True)
@@ -317,19 +327,28 @@ def labelled(spark, folder):
     return rows.join(scoring.tasks(spark, folder).select(F.col("id").alias("vuln_id"), "ground_truth_label"), "vuln_id")
 
 
-@R.add("m4_m5_train_report", "SELECT 15 AS features, true AS auc_in_range, true AS f1_in_range, true AS threshold_in_range")
+@R.add("m4_m5_train_report", "SELECT 15 AS features, true AS auc_in_range, true AS f1_in_range, true AS threshold_in_range, true AS at_best_round, true AS ran_out_of_patience, true AS loss_fell")
 def m5(spark, folder):
     _, report = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id")
     # The scores follow Spark's trees, so facts are checked, not figures.
     return report.select(F.size("features").alias("features"), F.col("auc").between(0, 1).alias("auc_in_range"),
-                         F.col("best_f1").between(0, 1).alias("f1_in_range"), F.col("best_threshold").between(0, 1).alias("threshold_in_range"))
+                         F.col("best_f1").between(0, 1).alias("f1_in_range"), F.col("best_threshold").between(0, 1).alias("threshold_in_range"),
+                         (F.col("rounds") <= F.col("rounds_tried")).alias("at_best_round"),
+                         ((F.col("rounds") + 49 < F.col("rounds_tried")) | (F.col("rounds_tried") == 1_000)).alias("ran_out_of_patience"),
+                         (F.col("best_loss") <= F.col("first_loss")).alias("loss_fell"))
 
 
-@R.add("m6_apply_calibrator", "SELECT vuln_id, true AS in_range FROM (" + scoring.RS + ")")
+@R.add("m6_apply_calibrator", "SELECT vuln_id, true AS in_range, true AS same_when_loaded FROM (" + scoring.RS + ")")
 def m6(spark, folder):
+    """Scores of the fitted calibrator, and of the same one stored and loaded."""
     calibrator, _ = C.train_calibrator(labelled(spark, folder), "ground_truth_label", "vuln_id")
-    out = C.apply_calibrator(scoring.results(spark, folder), calibrator, "vuln_id")
-    return out.select("vuln_id", F.col("calibrated_confidence").between(0, 1).alias("in_range"))
+    place = new_folder(spark, "calibrator")
+    calibrator.save(place)
+    rows = scoring.results(spark, folder)
+    out = C.apply_calibrator(rows, calibrator, "vuln_id")
+    again = C.apply_calibrator(rows, C.Calibrator.load(spark, place), "vuln_id").withColumnRenamed("calibrated_confidence", "loaded")
+    return out.join(again, "vuln_id").select("vuln_id", F.col("calibrated_confidence").between(0, 1).alias("in_range"),
+                                             (F.abs(F.col("calibrated_confidence") - F.col("loaded")) < 1e-9).alias("same_when_loaded"))
 
 
 @R.add("m7_score_fallback", "SELECT vuln_id, coalesce(native_confidence, 0.5) AS calibrated_confidence FROM (" + scoring.RS + ")")

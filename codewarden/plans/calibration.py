@@ -1,7 +1,8 @@
 """Train and apply the confidence calibrator."""
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -93,11 +94,41 @@ class Calibrator:
         return cls(spark.read.schema(schema).json(f"{path}/moments"), PipelineModel.load(f"{path}/model"))
 
 
-def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 60, seed: int = 42, components: int = 10,
-                     fit_guardrail_on_train: bool = False) -> tuple[Calibrator, DataFrame]:
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first n trees."""
+    context = SparkContext._active_spark_context
+    jvm, whole = context._jvm, model._java_obj
+    trees = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(whole.trees()[:n], whole.treeWeights()[:n])):
+        trees[i], weights[i] = tree, weight
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(whole.uid(), trees, weights)
+    return GBTClassificationModel(whole.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap.empty()))
+
+
+def boost(rows: DataFrame, rounds: int = 1_000, patience: int = 50, seed: int = 42) -> tuple[GBTClassificationModel, list[float]]:
+    """(ensemble up to its best round, hold-out loss by round) of rows (pca, label, weight, is_val).
+
+    The loss of the hold-out is followed round by round; the run ends when `patience` rounds after the best one
+    brought nothing, or at `rounds`.  Trees follow the seed, so a longer run repeats the shorter one and goes on.
+    """
+    train, held = cut_lineage(rows.where("NOT is_val")), cut_lineage(rows.where("is_val"))
+    tried = min(rounds, patience + 10)
+    while True:
+        trees = GBTClassifier(featuresCol="pca", labelCol="label", weightCol="weight", maxIter=tried, stepSize=0.03, maxDepth=6, seed=seed)
+        model = trees.fit(train)
+        losses = model.evaluateEachIteration(held)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        if best + patience < tried or tried == rounds:
+            return first_rounds(model, best + 1), losses
+        tried = min(rounds, 2 * tried)
+
+
+def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 1_000, seed: int = 42, components: int = 10,
+                     fit_guardrail_on_train: bool = False, patience: int = 50) -> tuple[Calibrator, DataFrame]:
     """(calibrator, one-row report) from rows with a label, an id and the 15 features.
 
-    80/20 stratified hold-out; the hold-out also stops the boosting early.
+    80/20 stratified hold-out; the hold-out also ends the boosting and picks its best round (`rounds` in the report).
     """
     if rows.limit(MIN_TRAINING_ROWS).count() < MIN_TRAINING_ROWS:
         raise ValueError(f"at least {MIN_TRAINING_ROWS} rows are needed")
@@ -109,17 +140,16 @@ def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 60,
     ready = balanced_weights(standardise(split, moments), label).withColumn("label", F.col(label).cast("double"))
     assembler, pca = fit_pca(ready.where("NOT is_val"), components)
     ready = cut_lineage(pca.transform(assembler.transform(ready)).select("pca", "label", "weight", "is_val"))
-    trees = GBTClassifier(
-        featuresCol="pca", labelCol="label", weightCol="weight", validationIndicatorCol="is_val", maxIter=rounds,
-        stepSize=0.03, maxDepth=6, seed=seed)
-    fitted = trees.fit(ready)
+    fitted, losses = boost(ready, rounds, patience, seed)
     calibrator = Calibrator(moments, PipelineModel([assembler, pca, fitted]))
     held = cut_lineage(calibrator.score(split.where("is_val")).select(label, "score"))
     curve = metrics.precision_recall(metrics.score_counts(held, label, "score"))
     best = metrics.best_f1(curve, padded=True)
     report = metrics.roc_auc(held, label, "score").join(best, F.lit(True)).select(
         F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"), "auc",
-        F.array(*[F.lit(n) for n in FEATURE_NAMES]).alias("features"), "precision", "recall")
+        F.array(*[F.lit(n) for n in FEATURE_NAMES]).alias("features"), "precision", "recall",
+        F.lit(fitted.getNumTrees).alias("rounds"), F.lit(len(losses)).alias("rounds_tried"), F.lit(float(min(losses))).alias("best_loss"),
+        F.lit(float(losses[0])).alias("first_loss"))
     return calibrator, report
 
 

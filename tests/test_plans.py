@@ -67,3 +67,38 @@ def test_hot_stratum_is_ranked_in_many_buckets(spark):
     text = plan(lowest_hashes(keyed, ["cwe"], quota, "id", "h"))
     ranks = [line for line in text.splitlines() if "Window [row_number()" in line]
     assert ranks and all("_bucket" in line for line in ranks)
+
+
+def test_boosting_stops_by_patience_and_keeps_its_best_round(spark):
+    """Labels with noise: the hold-out loss turns, the run goes on for the patience, and the trees after the best round go."""
+    import random
+
+    from pyspark.ml.linalg import Vectors
+
+    from codewarden.plans import calibration as C
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        x = [rng.gauss(0, 1) for _ in range(3)]
+        rows.append((Vectors.dense(x), float((x[0] > 0) != (rng.random() < 0.3)), 1.0, i % 5 == 0))
+    ready = spark.createDataFrame(rows, ["pca", "label", "weight", "is_val"])
+    model, losses = C.boost(ready, rounds=40, patience=4)
+    best = min(range(len(losses)), key=losses.__getitem__)
+    assert model.getNumTrees == best + 1 and (best + 4 < len(losses) or len(losses) == 40)
+    assert losses[best] < losses[0]
+    again = model.evaluateEachIteration(ready.where("is_val"))
+    assert len(again) == best + 1 and abs(again[-1] - losses[best]) < 1e-9
+    scored = model.transform(ready.where("is_val")).select("label", "prediction").collect()
+    assert sum(r.label == r.prediction for r in scored) > 0.55 * len(scored)
+
+
+def test_boosting_goes_on_while_it_gains(spark):
+    """Labels that the features decide: a run cut at a few rounds is taken up again with twice as many."""
+    from pyspark.ml.linalg import Vectors
+
+    from codewarden.plans import calibration as C
+
+    rows = [(Vectors.dense([float(i % 17), float(i % 5)]), float(i % 17 > 8), 1.0, i % 4 == 0) for i in range(200)]
+    model, losses = C.boost(spark.createDataFrame(rows, ["pca", "label", "weight", "is_val"]), rounds=18, patience=1)
+    assert len(losses) == 18 == model.getNumTrees and losses == sorted(losses, reverse=True)
