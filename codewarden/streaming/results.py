@@ -18,16 +18,31 @@ def result_stream(spark: SparkSession, folder: str, schema: str, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_batch(log: str, dead_letters: str):
-    """Sink function: append the batch to the log; if that fails, keep its successful rows as JSON."""
+    """Sink function in two phases: the batch is evaluated once, into a staged table, and both targets are fed from that.
+
+    If staging fails, the query stops and the same batch comes again: nothing is lost or half written.  If the log
+    can't be written, the staged successful rows become JSON dead letters.  A batch that comes again replaces its
+    partition of the log and, if the log takes it now, its dead letters go: each row is kept once.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
+        spark, staged, letters = batch.sparkSession, f"{log}.staged/batch_id={batch_id}", f"{dead_letters}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(batch.schema).parquet(staged).withColumn("batch_id", F.lit(batch_id))
         try:
             write_partitions(rows, log, "batch_id")
         except Exception:  # noqa: BLE001 - any failed write goes to the dead letters
             kept = rows.where(F.col("outcome") == "success")
-            kept.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{dead_letters}/batch_id={batch_id}")
+            kept.write.mode("overwrite").option("ignoreNullFields", "false").json(letters)
+        else:
+            remove_folder(spark, letters)
+        remove_folder(spark, staged)
 
     return sink
 

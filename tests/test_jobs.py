@@ -185,3 +185,39 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(fake)
+
+
+def test_batch_is_evaluated_once_though_its_write_fails(spark, tmp_path):
+    """The second evaluation of this plan would fail; the dead letters still get every successful row."""
+    (tmp_path / "log").write_text("a file where the log should be")
+    mark = str(tmp_path / "evaluated")
+
+    def once(batches):
+        import os
+
+        if os.path.exists(mark):
+            raise RuntimeError("evaluated again")
+        open(mark, "w").close()
+        yield from batches
+
+    rows = spark.createDataFrame([(1, "success", "Success", "BENIGN", 1), (2, "fail", "Failed", None, 2), (3, "success", "Success", None, 3)], SCHEMA)
+    batch = rows.coalesce(1).mapInPandas(once, SCHEMA)
+    ST.write_batch(str(tmp_path / "log"), str(tmp_path / "dead"))(batch, 0)
+    kept = spark.read.schema(SCHEMA).json(f"{tmp_path}/dead/batch_id=0")
+    assert sorted(r.vuln_id for r in kept.collect()) == [1, 3]
+    assert not (tmp_path / "log.staged" / "batch_id=0").exists()
+
+
+def test_batch_that_comes_again_is_kept_once(spark, tmp_path):
+    """First the log fails and the letters hold the batch; after the restart the log has it and the letters go."""
+    log = tmp_path / "log"
+    log.write_text("a file where the log should be")
+    batch = spark.createDataFrame([(1, "success", "Success", "BENIGN", 1), (2, "fail", "Failed", None, 2)], SCHEMA)
+    sink = ST.write_batch(str(log), str(tmp_path / "dead"))
+    sink(batch, 4)
+    assert (tmp_path / "dead" / "batch_id=4").exists()
+    log.unlink()
+    sink(batch, 4)
+    sink(batch, 4)
+    assert sorted(r.vuln_id for r in spark.read.parquet(str(log)).collect()) == [1, 2]
+    assert not (tmp_path / "dead" / "batch_id=4").exists()
