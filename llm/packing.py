@@ -44,9 +44,7 @@ DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def plain(text: str) -> bool:
@@ -59,7 +57,8 @@ class Encoder:
 
     The tokenizer splits a text before a single blank in any case, so a plain text is its words, each but
     the first with the blank before it, and the tokenizer encodes each different word once.  New words go to
-    it as one text; a token that begins with the blank begins the next word.
+    it as one text; a token that begins with the blank begins the next word.  A text that holds one of the
+    tokenizer's added tokens is encoded as a whole, as these are found before any splitting.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,6 +66,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
         self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
@@ -112,7 +112,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         words, whole, firsts = {}, [], []
         for i, t in enumerate(texts):
-            if t and plain(t):
+            if t and plain(t) and not any(a in t for a in self.added):
                 first, *words[i] = t.split(" ")
                 firsts.append(first)
             elif t:

@@ -4,15 +4,17 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from llm import packing as P
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = P.Encoder(PATH)
+APART = Tokenizer.from_file(PATH)  # not the object under test
 
 
 def plain_ids(text):
-    return np.array(ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return np.array(APART.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @given(st.lists(st.text(alphabet="aZé .,\n\t'st!?…½ |<>", max_size=40), max_size=5))
@@ -21,6 +23,12 @@ def test_encoder_equals_the_tokenizer(texts):
     assert ENCODER(texts) == [plain_ids(t) for t in texts]
 
 
+def test_added_tokens_keep_their_ids():
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c\n<|endoftext|> ", "no <|endoftext |> here"):
+        assert ENCODER([text, "plain words"]) == [plain_ids(text), plain_ids("plain words")]
+    assert 50256 in APART.encode("x <|endoftext|> y", add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(0, 300), min_size=16, max_size=16))
 @settings(max_examples=50, deadline=None)
 def test_plan_uses_up_the_histogram(counts):
