@@ -22,6 +22,7 @@ others are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,16 +249,25 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(meet, "a string, b string")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(node, component) of the classes that have a link to another one.  `classes`: (class, h1, h2, doc_id)."""
+def key_groups(docs: DataFrame, width: int) -> DataFrame:
+    """The nodes of each shared key that some node probes by, with the key's leader."""
     key = Window.partitionBy("key")
     shared = (key_rows(docs, width).withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key))
               .withColumn("others", F.count("*").over(key) - 1).where("low <> high").select("key", "node", "part", "others"))
     probed = allocate(shared)
     leader = F.min(F.when(F.col("probe"), F.struct("node", "n"))).over(key)
-    groups = cut_lineage(probed.withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key))
-                         .withColumn("leader", leader).where("low <> high AND leader IS NOT NULL")
-                         .select("key", "node", "n", "probe", "indexed", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")))
+    return (probed.withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key))
+            .withColumn("leader", leader).where("low <> high AND leader IS NOT NULL")
+            .select("key", "node", "n", "probe", "indexed", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(node, component) of the classes that have a link to another one.  `classes`: (class, h1, h2, doc_id)."""
+    key = Window.partitionBy("key")
+    groups = cut_lineage(key_groups(docs, width))
+    # The shuffles of all keys are the largest files of the job; once nothing refers to them, a collection lets Spark delete them.
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     asked = classes.join(groups.select(F.col("node").alias("h1")).distinct(), "h1", "left_semi")
     sets = cut_lineage(class_sets(docs, asked, width))
 
