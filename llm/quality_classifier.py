@@ -2,8 +2,8 @@
 
 1. Each text is its set of n-gram indicators: words, pairs of words, runs of other signs, and whether a
    word follows itself, hashed to BUCKETS.
-2. Documents of either label are counted for each bucket, over all labelled documents that may teach; the
-   log-count ratio scales the bucket's indicator.
+2. Documents of either label are counted for each bucket, over all labelled documents that may teach (about
+   llm.tables.TEACH_ROWS at most); the log-count ratio scales the bucket's indicator.
 3. A hinge-loss model is fitted by dual coordinate descent on at most SAMPLE labelled documents, those of
    least hash; a fifth of them is set aside for the logistic curve that turns margins into scores.
 

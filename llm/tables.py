@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABEL_ROWS = 1_000_000  # labels up to this many (16 MB) are broadcast; more are met by a hash join
+TEACH_ROWS = 1_000_000  # labelled rows that teach, about; 16 MB
+SPAN = 1 << 30
 
 
-def join_labels(docs: DataFrame, labels: DataFrame, value: str, how: str = "inner", limit: int = LABEL_ROWS) -> DataFrame:
+def join_labels(docs: DataFrame, labels: DataFrame, value: str, how: str = "inner", limit: int = TEACH_ROWS) -> DataFrame:
     """`docs` (doc_id, ...) with the label `value` of its doc_id.
 
     One label for each id: the larger where labels are repeated, and null labels or ids are dropped.
+    About `limit` labels teach at most: of n labels those whose id hashes into the first limit / n of all
+    hashes, so which ones does not depend on order or partitions, and all of them up to `limit`.  They are
+    broadcast at every size, and no text is shuffled for a label.
     """
-    one = (labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull())
-           .groupBy("doc_id").agg(F.max(value).cast("int").alias("label")))
-    small = labels.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(one) if small else one.hint("shuffle_hash"), "doc_id", how)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).select("doc_id", F.col(value).cast("int").alias("label"))
+    share = int(SPAN * min(1.0, limit / max(1, known.count())))
+    one = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SPAN)) < share).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.join(F.broadcast(one), "doc_id", how)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -17,6 +17,8 @@
 
 Everything that reaches the driver has a fixed size: BUCKETS rows of counts for each of STEMS, and the bins.
 
+About llm.tables.TEACH_ROWS labels teach at most; the prior counts every document.
+
 Nulls and ties: a null or empty text has no segments and the score of no evidence.  Repeated rows are
 scored alike; a null doc_id has no label and is not held out.
 """
@@ -41,6 +43,7 @@ ZS = (2.5, 1.5, 1.0)
 INNER = 4
 SCORE_BINS, SCORE_STEP, SCORE_LEAST = 400, 0.05, -8.0
 DRIFT = 0.05
+MOST_DECAY = 64.0
 CHANCE = 0.05  # segments expected by chance, up to which one is significant
 EVIDENCE_BINS = 200
 EVIDENCE_STEP = 0.5
@@ -128,7 +131,8 @@ def ordinary(rows: DataFrame, models: list[Model]) -> np.ndarray:
 def decay(counted: np.ndarray, best: float) -> float:
     """lambda > 0 with sum p exp(lambda s) = 1 over ordinary words; their mean score is negative.
 
-    One more word of the best score is counted, as ordinary text may hold it though none was seen.
+    One more word of the best score is counted, as ordinary text may hold it though none was seen.  At most
+    MOST_DECAY.
     """
     score = SCORE_LEAST + (np.arange(SCORE_BINS) + 0.5) * SCORE_STEP
     counted = counted.copy()
@@ -136,12 +140,13 @@ def decay(counted: np.ndarray, best: float) -> float:
     p = counted / counted.sum()
     if not p[score > 0].any() or (p * score).sum() >= 0:
         return 1.0
+    p, score = p[p > 0], score[p > 0]
     low, high = 0.0, 1.0
-    while (p * np.exp(high * score)).sum() < 1 and high < 64:
+    while high < MOST_DECAY and (p * np.exp(np.minimum(high * score, 700))).sum() < 1:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if (p * np.exp(mid * score)).sum() < 1 else (low, mid)
+        low, high = (mid, high) if (p * np.exp(np.minimum(mid * score, 700))).sum() < 1 else (low, mid)
     return high
 
 
@@ -275,7 +280,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
     a, b = curve([tuple(r) for r in taught.groupBy(place, F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
                   .agg(F.count("*").alias("n")).collect()])
     found = evidence(docs.withColumn("held_out", out), model, [*keep, "held_out"])
-    capped = F.least(F.col("evidence"), F.lit(EVIDENCE_BINS * EVIDENCE_STEP))
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * capped)))
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence"))))
     return (found.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
             .select(*keep, "held_out", "score", "predicted", "n_words", "evidence", "passages"))

@@ -78,3 +78,19 @@ def test_rare_vocabulary_of_one_language_is_found(docs_of, labels_of):
     held = [r for r in T.score_documents(docs_of(rows), labels_of(labels)).collect() if r.held_out]
     assert np.mean([r.predicted for r in held if r.doc_id in rare]) > 0.8
     assert np.mean([r.predicted for r in held if r.doc_id % 10 > 1]) < 0.03
+
+
+def test_decay_without_overflow():
+    for best in (0.5, 3.0, 11.0):
+        for seen in ([10, 0], [399, 1], [0, 399]):
+            counted = np.zeros(T.SCORE_BINS, dtype=np.int64)
+            counted[seen] = 1_000
+            with np.errstate(all="raise"):
+                assert 0 < T.decay(counted, best) <= T.MOST_DECAY
+
+
+def test_more_evidence_never_scores_less(docs_of, labels_of):
+    rows = [(i, ("vile " * (1 + i // 2) if i % 2 else "kind ") + "plain words of any text here " * 8) for i in range(400)]
+    got = T.score_documents(docs_of(rows), labels_of([(i, 0, i % 2) for i in range(400)])).collect()
+    by = sorted((r.evidence, r.score) for r in got)
+    assert all(a[1] <= b[1] for a, b in zip(by, by[1:])) and all(r.predicted == r.doc_id % 2 for r in got if r.held_out)
