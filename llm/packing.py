@@ -30,7 +30,7 @@ from codewarden.session import cut_lineage
 SEQUENCE = 1024
 GRAIN = 4
 END = 0
-CACHED_WORDS, CACHED_CORES = 400_000, 1_000_000  # words and their parts whose ids a worker keeps; it starts anew beyond
+CACHED_WORDS, CACHED_CORES = 1_000_000, 1_000_000  # words and their parts whose ids a worker keeps; it starts anew beyond
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
 SLICE_BYTES = 2 << 20
@@ -89,31 +89,45 @@ class Encoder:
         return found
 
     def _learn(self, new: list[str]) -> None:
-        """Words come apart again where the tokenizer splits them: at line ends, and before closing signs."""
-        pieces, opened, bare = {}, set(), set()
-        for w in new:
-            out = []
-            for k, line in enumerate(w.split("\n")):
-                core = line.rstrip(CLOSING)
-                core, tail = (core, line[len(core):]) if core and core[-1].isalnum() else (line, "")
-                out += [(k == 0, core), (False, tail)] if k == 0 else [(False, "\n"), (False, core), (False, tail)]
-            pieces[w] = out = [p for p in out if p[1]]
-            for first, p in out:
-                (opened if first else bare).add(p)
+        """Words come apart again where the tokenizer splits them: after a line end at their front, and before closing signs.
+
+        A word that is letters and digits alone is its own core, so it needs no pieces.
+        """
         if len(self.cores) + len(self.bare) > CACHED_CORES:
             self.cores.clear()
             self.bare.clear()
-        self.cores.update(self._opened([p for p in opened if p not in self.cores]))
-        missing = [p for p in bare if p not in self.bare]
-        self.bare.update(zip(missing, self._encode(missing), strict=True))
-        self.known.update((w, b"".join([self.cores[p] if first else self.bare[p] for first, p in out])) for w, out in pieces.items())
+        whole, pieces = [], {}
+        for w in new:
+            if w.isalnum():
+                whole.append(w)
+                continue
+            line = w[1:] if w[0] == "\n" else w
+            core = line.rstrip(CLOSING)
+            if not core or not core[-1].isalnum():
+                core = line
+            pieces[w] = (line is not w, core, line[len(core):])
+        cores, bare = self.cores, self.bare
+        opened = {core for after, core, _ in pieces.values() if not after}
+        opened.update(whole)
+        cores.update(self._opened([p for p in opened if p not in cores]))
+        loose = {core for after, core, _ in pieces.values() if after}
+        loose.update(tail for _, _, tail in pieces.values())
+        loose.add("\n")
+        missing = [p for p in loose if p and p not in bare]
+        bare.update(zip(missing, self._encode(missing), strict=True))
+        bare[""], end = b"", bare["\n"]
+        known = self.known
+        for w in whole:
+            known[w] = cores[w]
+        for w, (after, core, tail) in pieces.items():
+            known[w] = end + bare[core] + bare[tail] if after else cores[core] + bare[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         words, whole, firsts = {}, [], []
         for i, t in enumerate(texts):
             if t and plain(t) and not any(a in t for a in self.added):
-                first, *words[i] = t.split(" ")
+                first, *words[i] = t.replace("\n", " \n").split(" ")
                 firsts.append(first)
             elif t:
                 whole.append(i)
