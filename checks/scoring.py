@@ -1,12 +1,17 @@
 """Metrics, thresholds, evaluation, table maintenance."""
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks import bind as B
 from codewarden.functions import features as X
 from codewarden.operators import metrics as M
+from codewarden.operators import pages as G
 from codewarden.operators import tables as T
 from codewarden.plans import evaluation as E
+from codewarden.session import shared_folder
 
 R = B.Registry()
 SC, TK, RS = B.sql(B.SCORED), B.sql(B.TASKS), B.sql(B.RESULTS)
@@ -31,6 +36,21 @@ def s9(spark, folder):
     return T.work_list(tasks(spark, folder), "split1", offset=50, limit=400)
 
 
+PAGES = 8
+
+
+@R.add("s9_t7_work_pages", f"""
+SELECT id, place, place // size AS page FROM (
+  SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, CAST(ceil(count(*) OVER () / {PAGES}.0) AS BIGINT) AS size
+  FROM ({TK}) WHERE split = 'split1' AND status IN ('Pending', 'Failed'))""")
+def s9_pages(spark, folder):
+    stored = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    G.store_pages(T.work_list(tasks(spark, folder), "split1"), "id", stored)
+    size = max(1, -(-G.page_total(spark, stored) // PAGES))
+    read = [G.read_page(spark, stored, "id", n * size, size).withColumn("page", F.lit(n).cast("long")) for n in range(PAGES)]
+    return reduce(lambda a, b: a.unionByName(b), read)
+
+
 @R.add("f3_f4_l7_resume", f"SELECT id FROM ({TK}) WHERE split = 'split2' AND status IN ('Pending', 'Failed')")
 def f4(spark, folder):
     return T.work_list(tasks(spark, folder), "split2")
