@@ -1,5 +1,7 @@
 """Normalising, importing, splitting and sampling."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import bind as B
@@ -8,6 +10,8 @@ from codewarden.functions.once import pin
 from codewarden.operators import normalize as N
 from codewarden.operators import sampling as G
 from codewarden.operators.ordering import seeded_hash
+from codewarden.session import shared_folder
+from codewarden.sources import records
 from codewarden.sources.store import stored_threshold
 from codewarden.sources.tool_results import map_tool_results
 
@@ -441,3 +445,36 @@ def t8(spark, folder):
         Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     local = rows.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", "id")))
     return G.shuffled(local.join(before, "b"), 7, "id").select("id", (F.col("r") + F.col("base")).alias("place"))
+
+
+LIST_ROWS = 1_000  # documents in a list file
+
+
+@R.add("s2_s3_k1_json_lists", f"""
+SELECT doc_id, lang, text, row_number() OVER (PARTITION BY doc_id // {LIST_ROWS} ORDER BY doc_id) - 1 AS row_index FROM documents""")
+def s2(spark, folder):
+    """Documents written as JSON lists and read back by pieces."""
+    place = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    item = F.struct("doc_id", F.to_json(F.struct("doc_id", "lang", "text"), {"ignoreNullFields": "false"}).alias("json"))
+    lists = B.load(spark, folder, "documents").groupBy(F.expr(f"doc_id div {LIST_ROWS}").alias("page")).agg(
+        F.array_sort(F.collect_list(item)).alias("items"))
+    written = F.concat(F.lit("[\n"), F.array_join(F.transform("items", lambda i: i["json"]), ",\n"), F.lit("\n]"))
+    lists.select(written.alias("value")).write.option("maxRecordsPerFile", 1).text(place)
+    found = records.read_json_array(spark, f"{place}/*.txt")
+    return found.select(
+        F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"), F.try_variant_get("record", "$.lang", "string").alias("lang"),
+        F.try_variant_get("record", "$.text", "string").alias("text"), "row_index")
+
+
+@R.add("s1_s6_k1_json_lines", "SELECT doc_id, lang, text, n_chars FROM documents")
+def s1(spark, folder):
+    """Documents written as JSON Lines and read back; lines that are no JSON would come as null ids."""
+    place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    records.write_jsonl(B.load(spark, folder, "documents").select("doc_id", "lang", "text", "n_chars"), place)
+    good, bad = records.read_jsonl(spark, f"{place}/*.json")
+    found = good.select(
+        F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"), F.try_variant_get("record", "$.lang", "string").alias("lang"),
+        F.try_variant_get("record", "$.text", "string").alias("text"), F.try_variant_get("record", "$.n_chars", "long").alias("n_chars"))
+    none = F.lit(None)
+    return found.unionByName(bad.select(none.cast("long").alias("doc_id"), none.cast("string").alias("lang"), F.col("line").alias("text"),
+                                        none.cast("long").alias("n_chars")))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codewarden.functions.once import pin
+from codewarden.sources.lists import list_items, numbered_pieces
 
 LINES, ARRAY = "lines", "array"
 
@@ -30,21 +31,7 @@ def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A file that is no list fails here; `read_kb_folder` skips such files.
     """
-    items = _array_items(spark, path)
-    checked = items.withColumn("record", F.when(
-        F.startswith(F.schema_of_variant("whole"), F.lit("ARRAY")), F.col("whole")).otherwise(
-        F.raise_error(F.concat(F.lit("no JSON list: "), F.col("file_name")))))
-    return _explode_items(checked.select("file_name", F.col("record").alias("whole")))
-
-
-def _array_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.col("_metadata.file_name").alias("file_name"), F.try_parse_json("value").alias("whole"))
-
-
-def _explode_items(whole: DataFrame) -> DataFrame:
-    items = F.try_variant_get("whole", "$", "array<variant>")
-    return whole.select("file_name", F.posexplode(items).alias("row_index", "record"))
+    return list_items(spark, path, strict=True)
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -54,20 +41,8 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataF
 
 
 def read_lines_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_name, line_index, line) with the physical line number from 0, blank lines counted.
-
-    Lines are numbered inside each file split, splits by their start in the file; so the count per
-    split is all that is gathered, and nothing is sorted.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"),
-        F.monotonically_increasing_id().alias("_id"))
-    splits = lines.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return lines.join(splits, ["_path", "_start"]).select(
-        "file_name", (F.col("_base") + F.col("_id") - F.col("_first")).alias("line_index"), "line")
+    """(file_name, line_index, line) with the physical line number from 0, blank lines counted."""
+    return numbered_pieces(spark, path).select("file_name", "line_index", "line")
 
 
 def number_records(lines: DataFrame, parsed: Column) -> DataFrame:
@@ -117,8 +92,7 @@ def read_kb_folder(spark: SparkSession, folder: str) -> DataFrame:
     lines = [path for path, kind in kinds.items() if kind == LINES]
     parts = []
     if arrays:
-        parts.append(_explode_items(_array_items(spark, arrays)).withColumn(
-            "row_index", F.col("row_index").cast("bigint")))
+        parts.append(list_items(spark, arrays))
     if lines:
         numbered = number_records(read_lines_numbered(spark, lines), F.try_parse_json("line"))
         parts.append(numbered.select("file_name", F.col("row_index").cast("bigint"), "record"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import loose
 from codewarden.functions.static_facts import empty_names
+from codewarden.sources.lists import list_items
 
 
 def map_tool_results(rows: DataFrame) -> DataFrame:
@@ -25,8 +26,7 @@ def map_tool_results(rows: DataFrame) -> DataFrame:
 
 def read_tool_results(spark: SparkSession, path: str) -> DataFrame:
     """Facts from result files, each a JSON list of rows."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("w"))
-    items = whole.select(F.posexplode(F.try_variant_get("w", "$", "array<variant>")).alias("pos", "r"))
+    items = list_items(spark, path).select(F.col("row_index").alias("pos"), F.col("record").alias("r"))
     items = items.withColumn("apis", F.try_variant_get("r", "$.apis", "array<string>"))
     items = loose.unpack(items, "r", "filename", "complexity", "has_data_flow", "error")
     return map_tool_results(items.select(
