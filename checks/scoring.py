@@ -9,6 +9,7 @@ from checks import bind as B
 from codewarden.functions import features as X
 from codewarden.operators import metrics as M
 from codewarden.operators import pages as G
+from codewarden.operators import keyed as K
 from codewarden.operators import tables as T
 from codewarden.plans import evaluation as E
 from codewarden.session import shared_folder
@@ -155,6 +156,40 @@ def k7(spark, folder):
     return T.write_back(B.bind(spark, folder, f"SELECT * FROM {OLD}"), B.bind(spark, folder, BATCH), "vuln_id", "native_confidence")
 
 
+def stored_old(spark, folder):
+    place = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    K.store(B.bind(spark, folder, f"SELECT * FROM {OLD}"), "vuln_id", place)
+    return place
+
+
+@R.add("k4_keyed_replace", f"""
+SELECT * FROM {OQ} o WHERE NOT EXISTS (SELECT 1 FROM ({BQ}) b WHERE b.vuln_id = o.vuln_id)
+UNION ALL SELECT vuln_id, final_decision, native_confidence FROM ({BQ})""")
+def k4_keyed(spark, folder):
+    """Folded in twice, as after a restart."""
+    place, new = stored_old(spark, folder), B.bind(spark, folder, BATCH).select("vuln_id", "final_decision", "native_confidence")
+    K.replace(spark, place, new)
+    K.replace(spark, place, new)
+    return K.read(spark, place)
+
+
+@R.add("k6_keyed_merge", f"""
+SELECT coalesce(o.vuln_id, b.vuln_id) AS vuln_id, CASE WHEN b.vuln_id IS NOT NULL THEN b.native_confidence ELSE o.native_confidence END AS native_confidence,
+  o.final_decision
+FROM {OQ} o FULL JOIN ({BQ}) b ON o.vuln_id = b.vuln_id""")
+def k6_keyed(spark, folder):
+    place = stored_old(spark, folder)
+    K.merge(spark, place, B.bind(spark, folder, BATCH).select("vuln_id", "native_confidence"))
+    return K.read(spark, place)
+
+
+@R.add("k7_keyed_column", f"SELECT o.vuln_id, o.final_decision, CASE WHEN b.vuln_id IS NULL THEN o.native_confidence ELSE b.native_confidence END AS native_confidence FROM {OQ} o LEFT JOIN ({BQ}) b USING (vuln_id)")
+def k7_keyed(spark, folder):
+    place = stored_old(spark, folder)
+    K.set_column(spark, place, B.bind(spark, folder, BATCH), "native_confidence")
+    return K.read(spark, place)
+
+
 @R.add("k8_reset_tables", f"SELECT 'tasks' AS name, status, count(*) AS n FROM (SELECT 'Pending' AS status FROM ({TK})) GROUP BY ALL UNION ALL SELECT 'cache', 'kept', count(*) FROM ({CQ})")
 def k8(spark, folder):
     out = T.reset_tables({"tasks": tasks(spark, folder), "results": results(spark, folder), "cache": B.bind(spark, folder, CACHED),
