@@ -16,6 +16,7 @@ from codewarden.operators.postings import postings_read, search_postings
 from codewarden.plans import calibration as C
 from codewarden.session import shared_folder
 from codewarden.sources.store import read_kb_tables, write_kb_tables
+from codewarden.streaming import attempts as AT
 from codewarden.streaming import results as ST
 
 R = B.Registry()
@@ -384,3 +385,22 @@ def l6(spark, folder):
         F.when(F.col("event_type") == "purchase", F.lit("Success")).otherwise(F.lit("Pending")).alias("status"), "ts")
     ST.start_progress(rows, f"{base}/log", f"{base}/checkpoint", drain=True).awaitTermination()
     return ST.progress_view(spark, f"{base}/log")
+
+
+ATTEMPTS = """
+SELECT event_id // 3 AS task_id, event_id % 3 + 1 AS attempt, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'asked' ELSE 'error' END AS outcome, ts
+FROM events"""
+
+
+@R.add("l4_streamed_attempts", f"""
+SELECT task_id, CASE WHEN won > 0 THEN 'Success' WHEN lost >= 3 THEN 'Failed' WHEN waits > 0 THEN 'Waiting' ELSE 'Retry' END AS status, lost AS failed FROM (
+  SELECT task_id, count(*) FILTER (outcome = 'success') AS won, count(*) FILTER (outcome = 'error' OR silent) AS lost, count(*) FILTER (outcome = 'asked' AND NOT silent) AS waits
+  FROM (SELECT *, outcome = 'asked' AND ts + INTERVAL 5 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS silent FROM ({ATTEMPTS})) GROUP BY task_id)""")
+def l4_attempts(spark, folder):
+    base = new_folder(spark, "attempts")
+    outcome = F.expr("CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'asked' ELSE 'error' END")
+    rows = event_stream(spark, folder).select(F.expr("event_id div 3").alias("task_id"), (F.col("event_id") % 3 + 1).alias("attempt"),
+                                              outcome.alias("outcome"), F.col("ts").alias("at"))
+    AT.start_attempts(rows, f"{base}/log", f"{base}/checkpoint", drain=True, delay="1 hour", timeout_ms=5 * 86_400_000,
+                      keep_ms=60 * 86_400_000).awaitTermination()
+    return AT.task_states(spark, f"{base}/log")
