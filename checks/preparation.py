@@ -466,7 +466,7 @@ def s2(spark, folder):
         F.try_variant_get("record", "$.text", "string").alias("text"), "row_index")
 
 
-@R.add("s1_s6_k1_json_lines", "SELECT doc_id, lang, text, n_chars FROM documents")
+@R.add("s1_k1_json_lines", "SELECT doc_id, lang, text, n_chars FROM documents")
 def s1(spark, folder):
     """Documents written as JSON Lines and read back; lines that are no JSON would come as null ids."""
     place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
