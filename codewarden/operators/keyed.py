@@ -1,11 +1,12 @@
 """Stored tables by key of which a batch rewrites only the buckets that it touches.
 
 A table lies in one folder for each bucket, by the hash of its key.  A batch is folded into the buckets of its keys;
-these are written beside the table first and then take the place of the old ones, the files of all others stay
-as they are.  A batch that is folded in twice, after a failure or a restart, leaves the same table.
+these are checkpointed and then take the place of the old ones, the files of all others stay as they are.  A batch of
+non-null keys that is folded in twice leaves the same table.  Lost executors do no harm; but folders are replaced without
+a transaction, so if the driver stops between the removal of a bucket and its return, that bucket's other rows are lost.
 
 Nulls, ties and empty tables: a null key has a bucket like any other, but matches no key, so its rows stay and rows
-that come in with one are added by `replace` and `merge`.  Where a key comes in several times, the last by `order`
+that come in with one are added by `replace` and `merge`, each time they come.  Where a key comes in several times, the last by `order`
 counts; without an order keys must be single.  An empty batch touches nothing.  `_bucket` can't be a column.  A key that
 holds many rows makes its bucket large: such tables are for keys of few rows, like tasks, results and cached facts.
 """
