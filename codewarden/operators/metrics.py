@@ -3,13 +3,15 @@
 Row-level data is reduced to one row per distinct score before anything is ordered.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codewarden.functions.draws import decimal_blocks, hashed_numbers
 from codewarden.functions.features import finite, predicted
 from codewarden.operators.ordering import running_totals, seeded_hash
 from codewarden.session import cut_lineage
@@ -104,6 +106,8 @@ def best_f1(curve: DataFrame, by: Sequence[str] = (), padded: bool = False, digi
 
 
 CHUNK = 65_536
+MOST_TASKS = 4_096
+SHIPPED_SCORES = 1 << 20  # distinct scores up to which the tasks hold them all, 24 MB
 
 
 def _numbered(counts: DataFrame) -> DataFrame:
@@ -126,8 +130,57 @@ def bootstrap_by_rows(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
     """Score counts per round, from as many hashed draws as there are rows in each class.
 
     With five positives or fewer the draws ignore the class.  Draws are a function of (seed, round,
-    class, number), so they can be checked elsewhere; the cost is rounds times rows.
+    class, number), so they can be checked elsewhere; the cost is rounds times rows.  Rows under one score
+    are the same, so a draw is looked up in the running counts of the scores, which every task holds; draws
+    are counted where they are made.  Only beyond SHIPPED_SCORES are they joined to the rows.
     """
+    counts = cut_lineage(counts)
+    if counts.count() <= SHIPPED_SCORES:
+        return _counted_draws(counts, rounds, seed)
+    return _joined_draws(counts, rounds, seed)
+
+
+def _counted_draws(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
+    spark = counts.sparkSession
+    few = counts.select("score", "pos", "neg").toArrow().sort_by("score")  # at most SHIPPED_SCORES rows
+    score, pos, neg = (few.column(c).to_numpy() for c in ("score", "pos", "neg"))
+    places = np.arange(len(score))
+    if pos.sum() > 5:
+        groups = {1: (places, pos, np.ones_like(places)), 0: (places, neg, np.zeros_like(places))}
+    else:  # without strata all rows form one group; negatives come first
+        groups = {-1: (np.tile(places, 2), np.concatenate([neg, pos]), np.repeat([0, 1], len(places)))}
+    ends = {g: np.cumsum(n) for g, (_, n, _) in groups.items()}
+    shared = spark.sparkContext.broadcast((score, groups, ends))
+    sizes = {g: int(e[-1]) if len(e) else 0 for g, e in ends.items()}
+    chunks = {g: -(-size // CHUNK) for g, size in sizes.items()}
+    total = sum(chunks.values())
+    parts = [spark.range(0, n, 1, max(1, min(n, MOST_TASKS * n // max(1, total)))).select(F.lit(g).alias("grp"), (F.col("id") * CHUNK).alias("lo"))
+             for g, n in chunks.items()]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grp, lo in zip(batch["grp"].tolist(), batch["lo"].tolist()):
+                yield _chunk_draws(*shared.value, grp, lo, min(lo + CHUNK, sizes[grp]), rounds, seed)
+
+    drawn = reduce(DataFrame.unionByName, parts).mapInPandas(draw, "round int, score double, pos bigint, neg bigint")
+    return drawn.groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _chunk_draws(score: np.ndarray, groups: dict, ends: dict, grp: int, low: int, high: int, rounds: int, seed: int) -> pd.DataFrame:
+    """(round, score, pos, neg) of the draws that have the numbers from low up to high, in all rounds."""
+    place, _, label = groups[grp]
+    size, found = np.uint64(ends[grp][-1]), [[] for _ in range(rounds)]
+    for _, digits in decimal_blocks(low, high):
+        for number in range(rounds):
+            slots = hashed_numbers(f"{seed}|{number + 1}|{grp}|", digits) % size
+            found[number].append(np.searchsorted(ends[grp], slots.astype(np.int64), side="right"))
+    each = [np.unique(np.concatenate(f), return_counts=True) for f in found]
+    at, n = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+    number = np.repeat(np.arange(1, rounds + 1), [len(e[0]) for e in each])
+    return pd.DataFrame({"round": number, "score": score[place[at]], "pos": n * label[at], "neg": n * (1 - label[at])})
+
+
+def _joined_draws(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     rows = _numbered(counts).join(F.broadcast(totals), F.lit(True))
     stratified = F.col("p") > 5
