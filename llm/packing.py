@@ -37,7 +37,6 @@ SLICE_BYTES = 2 << 20
 
 # White space beside single blanks and line ends inside the text: such texts are encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-DOUBLE_SPACE = ("  ", "\n\n", " \n", "\n ")
 
 
 @lru_cache(maxsize=2)
@@ -47,9 +46,9 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def plain(text: str) -> bool:
-    """Whether all white space of a text is single blanks and line ends between other signs."""
-    return not (text[0] in " \n" or text[-1] in " \n" or any(d in text for d in DOUBLE_SPACE) or ODD_SPACE.search(text))
+def odd(word: str) -> bool:
+    """Whether a word, cut at single blanks and before line ends, shows that its text has other white space, or some at an end."""
+    return word in ("", "\n") or ODD_SPACE.search(word) is not None
 
 
 class Encoder:
@@ -68,6 +67,7 @@ class Encoder:
         self.bare: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = [a for a in self.added if a.split() != [a]]  # these may stand across words
         self.opens = np.zeros(max(names.values()) + 1, dtype=bool)
         self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
 
@@ -124,20 +124,28 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        words, whole, firsts = {}, [], []
+        words, whole = {}, []
         for i, t in enumerate(texts):
-            if t and plain(t) and not any(a in t for a in self.added):
-                first, *words[i] = t.replace("\n", " \n").split(" ")
-                firsts.append(first)
+            if t and not any(a in t for a in self.spaced):
+                words[i] = t.replace("\n", " \n").split(" ")
             elif t:
                 whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        self._learn(list({w for p in words.values() for w in p if w not in self.known}))
-        for (i, p), ids in zip(words.items(), self._encode(firsts), strict=True):
-            out[i] = ids + b"".join(map(self.known.__getitem__, p))
+        known = self.known
+        # A word that was learnt holds no odd white space and no added token, so only new ones are looked at.
+        new = {w for p in words.values() for w in p if w not in known}
+        apart = {w for w in new if odd(w) or any(a in w for a in self.added)}
+        if apart:
+            for i in [i for i, p in words.items() if not apart.isdisjoint(p)]:
+                del words[i]
+                whole.append(i)
+            new = {w for p in words.values() for w in p[1:] if w not in known}
+        self._learn(list(new))
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        for (i, p), ids in zip(words.items(), self._encode([p[0] for p in words.values()]), strict=True):
+            out[i] = ids + b"".join(map(known.__getitem__, p[1:]))
         return out
 
 

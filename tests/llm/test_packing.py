@@ -71,3 +71,19 @@ def test_little_padding(docs_of):
     rng = np.random.default_rng(1)
     docs = docs_of([(i, " ".join(["word"] * int(rng.integers(1, 700)))) for i in range(600)])
     assert check_whole(docs, P.pack(docs, PATH).collect()) > 0.985
+
+
+def test_a_word_is_looked_at_once(monkeypatch):
+    """Odd white space is sought in new words, not in every text again."""
+    import public_tokenizers
+
+    from llm import packing
+
+    met, odd = [], packing.odd
+    monkeypatch.setattr(packing, "odd", lambda word: met.append(word) or odd(word))
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b c", "a b", "x\ta b", " a", "a\n", "a  b", "a\n\nb", "\n", " ", "b\u2003a", "a\nb c", "a<|endoftext|>b c", ""]
+    assert encode(texts) == encode._encode(texts)
+    met.clear()
+    assert encode(["a b c b c"] * 50) == encode._encode(["a b c b c"] * 50)
+    assert set(met) <= {"a"}  # a first word has no blank before it and is not kept
