@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ from codewarden.session import cut_lineage
 SEQUENCE = 1024
 GRAIN = 4
 END = 0
-CACHED_WORDS, CACHED_CORES = 1_000_000, 1_000_000  # words and their parts whose ids a worker keeps; it starts anew beyond
+CACHED_WORDS = 1_500_000  # words, and parts of words, whose ids a worker keeps; it starts anew beyond
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 
 # White space beside single blanks and line ends inside the text: such texts are encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -63,7 +64,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -74,78 +74,100 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _opened(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words without inner white space, each with a blank before it."""
-        found = {}
+    def _opened(self, new: list[str]) -> None:
+        """Keep the ids of words without inner white space, each with a blank before it."""
         for low in range(0, len(new), JOINED_WORDS):
             part = new[low:low + JOINED_WORDS]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):  # never for a byte-level vocabulary; then one by one
-                found.update(zip(part, self._encode([" " + w for w in part]), strict=True))
+                self.known.update(zip(part, self._encode([" " + w for w in part]), strict=True))
                 continue
             raw, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            found.update((w, raw[edges[k]:edges[k + 1]]) for k, w in enumerate(part))
-        return found
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
 
     def _learn(self, new: list[str]) -> None:
         """Words come apart again where the tokenizer splits them: after a line end at their front, and before closing signs.
 
-        A word that is letters and digits alone is its own core, so it needs no pieces.
+        What is left of a word, its core, is kept as a word too.  A word that is letters and digits alone is its own core.
         """
-        if len(self.cores) + len(self.bare) > CACHED_CORES:
-            self.cores.clear()
-            self.bare.clear()
-        whole, pieces = [], {}
+        known, bare = self.known, self.bare
+        if len(bare) > CACHED_WORDS:
+            bare.clear()
+        opened, loose, pieces = [], {"\n"}, []
         for w in new:
             if w.isalnum():
-                whole.append(w)
+                opened.append(w)
                 continue
             line = w[1:] if w[0] == "\n" else w
             core = line.rstrip(CLOSING)
             if not core or not core[-1].isalnum():
                 core = line
-            pieces[w] = (line is not w, core, line[len(core):])
-        cores, bare = self.cores, self.bare
-        opened = {core for after, core, _ in pieces.values() if not after}
-        opened.update(whole)
-        cores.update(self._opened([p for p in opened if p not in cores]))
-        loose = {core for after, core, _ in pieces.values() if after}
-        loose.update(tail for _, _, tail in pieces.values())
-        loose.add("\n")
+            tail = line[len(core):]
+            if line is not w:
+                loose.add(core)
+            elif core not in known:
+                opened.append(core)
+            loose.add(tail)
+            pieces.append((w, line is not w, core, tail))
+        self._opened(list(dict.fromkeys(opened)))
         missing = [p for p in loose if p and p not in bare]
         bare.update(zip(missing, self._encode(missing), strict=True))
         bare[""], end = b"", bare["\n"]
-        known = self.known
-        for w in whole:
-            known[w] = cores[w]
-        for w, (after, core, tail) in pieces.items():
-            known[w] = end + bare[core] + bare[tail] if after else cores[core] + bare[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        words, whole = {}, []
-        for i, t in enumerate(texts):
-            if t and not any(a in t for a in self.spaced):
-                words[i] = t.replace("\n", " \n").split(" ")
-            elif t:
-                whole.append(i)
+        for w, after, core, tail in pieces:
+            known[w] = end + bare[core] + bare[tail] if after else known[core] + bare[tail]
+
+    def _strange(self, new: list[str]) -> list[int]:
+        """Places of the words that are odd or hold an added token; mostly there are none, which one look at all of them shows."""
+        every = f" {' '.join(new)} "
+        if not ("  " in every or "\n " in every or ODD_SPACE.search(every) or any(a in every for a in self.added)):
+            return []
+        return [k for k, w in enumerate(new) if odd(w) or any(a in w for a in self.added)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Arrow cuts the texts and numbers their different words, so each is looked up once a block, and joins the ids again."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded, edges = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        apart = np.zeros(len(texts), dtype=bool)
+        for a in self.spaced:
+            apart |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known = self.known
+        ids = list(map(known.get, names))
+        new = [k for k, x in enumerate(ids) if x is None]
         # A word that was learnt holds no odd white space and no added token, so only new ones are looked at.
-        new = {w for p in words.values() for w in p if w not in known}
-        apart = {w for w in new if odd(w) or any(a in w for a in self.added)}
-        if apart:
-            for i in [i for i, p in words.items() if not apart.isdisjoint(p)]:
-                del words[i]
-                whole.append(i)
-            new = {w for p in words.values() for w in p[1:] if w not in known}
-        self._learn(list(new))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for (i, p), ids in zip(words.items(), self._encode([p[0] for p in words.values()]), strict=True):
-            out[i] = ids + b"".join(map(known.__getitem__, p[1:]))
+        strange = self._strange([names[k] for k in new])
+        if strange:
+            at = np.zeros(len(names), dtype=bool)
+            at[[new[k] for k in strange]] = True
+            apart |= np.add.reduceat(at[code], edges[:-1]) > 0  # a text has one word at least
+        plain = np.flatnonzero(~apart)
+        first = edges[:-1][plain]
+        used = np.repeat(~apart, np.diff(edges))
+        used[first] = False
+        later = np.zeros(len(names), dtype=bool)
+        later[code[used]] = True
+        new = [k for k in new if later[k]]
+        self._learn([names[k] for k in new])
+        for k in new:
+            ids[k] = known[names[k]]
+        opening, code = np.unique(code[first]), code.copy()
+        code[first] = len(names) + np.searchsorted(opening, code[first])  # a first word has no blank before it
+        ids += self._encode([names[k] for k in opening])
+        used[first] = True
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(code[used]))
+        at, raw = np.frombuffer(joined.buffers()[1], dtype=np.int64), memoryview(joined.buffers()[2] or b"")
+        ends = np.cumsum(np.diff(edges)[plain])
+        out: list[bytes] = [b""] * len(texts)
+        low = 0
+        for i, high in zip(plain.tolist(), at[ends].tolist(), strict=True):
+            out[i], low = bytes(raw[low:high]), high
+        whole = np.flatnonzero(apart)
+        for i, one in zip(whole.tolist(), self._encode(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = one
         return out
 
 
@@ -161,7 +183,7 @@ def pieces(docs: DataFrame, path: str, window: int = SEQUENCE) -> DataFrame:
         end = np.array([END], dtype="<u4").tobytes()
         for batch in blocks(batches, limit=SLICE_BYTES):
             owner, start, length, crc, total = [], [], [], [], []
-            for d, ids in enumerate(encode(batch.column(1).to_pylist())):
+            for d, ids in enumerate(encode(batch.column(1))):
                 ids += end
                 n = len(ids) // 4
                 for low in range(0, n, window):

@@ -87,3 +87,23 @@ def test_a_word_is_looked_at_once(monkeypatch):
     met.clear()
     assert encode(["a b c b c"] * 50) == encode._encode(["a b c b c"] * 50)
     assert set(met) <= {"a"}  # a first word has no blank before it and is not kept
+
+
+def test_a_known_word_is_looked_up_once_a_block():
+    """However often a block repeats a word; the ids stay the tokenizer's."""
+    class Counted(dict):
+        asked = 0
+
+        def _count(name):
+            def ask(self, *key):
+                self.asked += 1
+                return getattr(dict, name)(self, *key)
+            return ask
+
+        get, __getitem__, __contains__ = map(_count, ("get", "__getitem__", "__contains__"))
+
+    encode, texts = P.Encoder(PATH), ["x one, two three one", "y two one three, two", None, ""] * 50
+    first = encode(texts)
+    encode.known = Counted(encode.known)
+    assert encode(texts) == first == [plain_ids(t) for t in texts]
+    assert encode.known.asked <= 8
