@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codewarden.session import cut_lineage
+from llm import words
 
 SEQUENCE = 1024
 GRAIN = 4
 END = 0
-CACHED_WORDS = 1_500_000  # words, and parts of words, whose ids a worker keeps; it starts anew beyond
+CACHED_WORDS = 1_000_000  # words, and parts of words, whose ids a worker keeps; it starts anew beyond
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # White space beside single blanks and line ends inside the text: such texts are encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -171,17 +172,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, path: str, window: int = SEQUENCE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): the documents cut at multiples of the window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from llm.words import blocks
-
-        encode = _encoders.setdefault(path, Encoder(path))
+        encode = words.kept(path, lambda: Encoder(path))
         end = np.array([END], dtype="<u4").tobytes()
-        for batch in blocks(batches, limit=SLICE_BYTES):
+        for batch in words.blocks(batches, limit=SLICE_BYTES, keep=path):
             owner, start, length, crc, total = [], [], [], [], []
             for d, ids in enumerate(encode(batch.column(1))):
                 ids += end

@@ -107,3 +107,22 @@ def test_a_known_word_is_looked_up_once_a_block():
     encode.known = Counted(encode.known)
     assert encode(texts) == first == [plain_ids(t) for t in texts]
     assert encode.known.asked <= 8
+
+
+def test_a_worker_that_turns_to_another_pass_holds_no_encoder(spark, docs_of):
+    """Workers outlive the pass, and the ids of a million words are as large as all that another pass needs."""
+    P.pieces(docs_of([(i, f"some words {i}") for i in range(64)]).repartition(8), PATH).count()
+
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from llm import words
+
+        for batch in words.blocks(batches):
+            held = sum(type(o).__module__ == "llm.packing" and type(o).__name__ == "Encoder" for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([held])], names=["held"])
+
+    other = docs_of([(i, "x") for i in range(64)]).repartition(8).select("text").mapInArrow(run, "held long")
+    assert sum(r.held for r in other.collect()) == 0

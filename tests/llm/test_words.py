@@ -42,3 +42,14 @@ def test_stems_keep_short_words():
     h = block.hashes()
     s = block.stems(h, 4)
     assert s[0] == s[1] and s[2] == h[2] and s[3] == h[3] and np.unique(s).size == 3
+
+
+def test_another_pass_lets_go_what_the_last_kept():
+    made, batch = [], pa.record_batch({"text": ["a b"]})
+    keep = lambda: W.kept("cache", lambda: made.append(1) or object())
+    first = keep()
+    list(W.blocks(iter([batch]), keep="cache"))
+    assert keep() is first
+    list(W.blocks(iter([batch])))
+    assert keep() is not first and len(made) == 2
+    list(W.blocks(iter([])))
