@@ -1,5 +1,10 @@
 """Train and apply the confidence calibrator."""
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -106,18 +111,45 @@ def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationMode
     return GBTClassificationModel(whole.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap.empty()))
 
 
+def round_losses(model: GBTClassificationModel, rows: DataFrame) -> list[float]:
+    """Weighted log loss of rows (pca, label, weight) after each round, as `evaluateEachIteration` has it, by one pass.
+
+    A row meets each tree once: the leaves it falls into, by the model's leaf column, give its margin round by round.
+    """
+    # A tree's description lists its leaves as the leaf column numbers them.
+    leaves = [np.array(re.findall(r"Predict: (\S+)", t.toDebugString), dtype=float) for t in model.trees]
+    shared = rows.sparkSession.sparkContext.broadcast([w * values for w, values in zip(model.treeWeights, leaves, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = shared.value
+        total, mass = np.zeros(len(gains)), 0.0
+        for batch in batches:
+            sign, weight = 2 * batch.column(1).to_numpy() - 1, batch.column(2).to_numpy()
+            margin, leaf = np.zeros(len(sign)), batch.column(0).flatten().to_numpy().reshape(-1, len(gains)).astype(np.int64)
+            for n, gain in enumerate(gains):
+                margin += gain[leaf[:, n]]
+                total[n] += (2 * np.logaddexp(0, -2 * sign * margin) * weight).sum()
+            mass += weight.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(gains)), pa.int32()), pa.array(total), pa.array([mass] * len(gains))], names=["n", "loss", "mass"])
+
+    placed = model.copy({model.leafCol: "_leaf"}).transform(rows).select(vector_to_array("_leaf").alias("leaf"), F.col("label").cast("double"), F.col("weight").cast("double"))
+    found = placed.mapInArrow(run, "n int, loss double, mass double").groupBy("n").agg((F.sum("loss") / F.sum("mass")).alias("loss"))
+    return [r["loss"] for r in found.orderBy("n").collect()]
+
+
 def boost(rows: DataFrame, rounds: int = 1_000, patience: int = 50, seed: int = 42) -> tuple[GBTClassificationModel, list[float]]:
     """(ensemble up to its best round, hold-out loss by round) of rows (pca, label, weight, is_val).
 
     The loss of the hold-out is followed round by round; the run ends when `patience` rounds after the best one
     brought nothing, or at `rounds`.  Trees follow the seed, so a longer run repeats the shorter one and goes on.
+    `rows` are read several times, so their lineage should be cut.
     """
-    train, held = cut_lineage(rows.where("NOT is_val")), cut_lineage(rows.where("is_val"))
+    train, held = rows.where("NOT is_val"), rows.where("is_val")
     tried = min(rounds, patience + 10)
     while True:
         trees = GBTClassifier(featuresCol="pca", labelCol="label", weightCol="weight", maxIter=tried, stepSize=0.03, maxDepth=6, seed=seed)
         model = trees.fit(train)
-        losses = model.evaluateEachIteration(held)
+        losses = round_losses(model, held)
         best = min(range(len(losses)), key=losses.__getitem__)
         if best + patience < tried or tried == rounds:
             return first_rounds(model, best + 1), losses
@@ -130,6 +162,7 @@ def train_calibrator(rows: DataFrame, label: str, row_id: str, rounds: int = 1_0
 
     80/20 stratified hold-out; the hold-out also ends the boosting and picks its best round (`rounds` in the report).
     """
+    rows = cut_lineage(rows)  # quotas, ranks, the guardrail and the split each read all of them
     if rows.limit(MIN_TRAINING_ROWS).count() < MIN_TRAINING_ROWS:
         raise ValueError(f"at least {MIN_TRAINING_ROWS} rows are needed")
     split = stratified_holdout(rows, label, row_id, 0.2, seed)

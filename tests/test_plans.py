@@ -102,3 +102,39 @@ def test_boosting_goes_on_while_it_gains(spark):
     rows = [(Vectors.dense([float(i % 17), float(i % 5)]), float(i % 17 > 8), 1.0, i % 4 == 0) for i in range(200)]
     model, losses = C.boost(spark.createDataFrame(rows, ["pca", "label", "weight", "is_val"]), rounds=18, patience=1)
     assert len(losses) == 18 == model.getNumTrees and losses == sorted(losses, reverse=True)
+
+
+def test_losses_of_all_rounds_take_one_pass(spark, monkeypatch):
+    """The losses are Spark's own, weights counted, without a pass over the hold-out for each round."""
+    import random
+
+    from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from codewarden.plans import calibration as C
+
+    rng = random.Random(7)
+    rows = [(Vectors.dense([rng.gauss(0, 1) for _ in range(3)]), float(rng.random() < 0.4), 0.5 + i % 3, i % 4 == 0) for i in range(300)]
+    ready = spark.createDataFrame(rows, ["pca", "label", "weight", "is_val"])
+    held = ready.where("is_val")
+    model = GBTClassifier(featuresCol="pca", weightCol="weight", maxIter=12, stepSize=0.1, maxDepth=4, seed=3).fit(ready)
+    want = model.evaluateEachIteration(held)
+    monkeypatch.setattr(GBTClassificationModel, "evaluateEachIteration", lambda *_: 1 / 0)
+    assert max(abs(a - b) for a, b in zip(C.round_losses(model, held), want, strict=True)) < 1e-9
+    assert C.boost(ready, rounds=6, patience=2)[0].getLeafCol() == ""
+
+
+def test_training_computes_its_rows_once(spark):
+    from codewarden.functions.constants import FEATURE_NAMES
+    from codewarden.plans import calibration as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200, numPartitions=2).selectExpr("id", "CAST(id % 3 = 0 AS INT) AS label", *[f"rand({k}) AS {c}" for k, c in enumerate(FEATURE_NAMES)])
+    C.train_calibrator(rows.mapInArrow(run, rows.schema), "label", "id", rounds=2)
+    assert seen.value == 200
