@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,39 +65,25 @@ class Windows:
                     yield int(i), size, items
 
 
-def _scan(docs: DataFrame, windows, carried: list[str]) -> DataFrame:
-    """Adds the spans (first word, end word) and the item ids of one block of windows to those carried along."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = windows.value
-        for batch in words.blocks(batches):
-            names = batch.schema.names
-            block = words.split(batch.column(names.index("text")), words.ALNUM)
-            spans, items = batch.column(names.index("spans")).to_pylist(), batch.column(names.index("items")).to_pylist()
-            for i, size, found in known.hits(block, block.hashes()):
-                d = int(np.searchsorted(block.bounds, i, side="right")) - 1
-                low = i - int(block.bounds[d])
-                if spans[d] and spans[d][-2] <= low <= spans[d][-1]:
-                    spans[d][-1] = max(spans[d][-1], low + size)
-                else:
-                    spans[d] += [low, low + size]
-                items[d] = sorted(found.union(items[d]))
-            columns = [batch.column(names.index(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                                             names=[*carried, "spans", "items"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.mapInArrow(run, f"{kinds}, spans array<long>, items array<string>")
-
-
-def _summary(docs: DataFrame, carried: list[str], percent: int, clean: bool) -> DataFrame:
-    """Counts of each document from its spans; with `clean`, also its text without the words hit."""
+def _judged(docs: DataFrame, windows: list[Broadcast], carried: list[str], percent: int, clean: bool) -> DataFrame:
+    """Counts of each document from its spans (first word, end word) in all blocks of windows; with `clean`, also its text without the words hit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.blocks(batches):
             names = batch.schema.names
             texts = batch.column(names.index("text"))
             block = words.split(texts, words.ALNUM)
-            spans, items = batch.column(names.index("spans")).to_pylist(), batch.column(names.index("items")).to_pylist()
-            total = np.diff(block.bounds)
+            hashes, total = block.hashes(), np.diff(block.bounds)
+            spans: list[list[int]] = [[] for _ in total]
+            items: list[set[str]] = [set() for _ in total]
+            for known in windows:
+                for i, size, found in known.value.hits(block, hashes):
+                    d = int(np.searchsorted(block.bounds, i, side="right")) - 1
+                    low = i - int(block.bounds[d])
+                    if spans[d] and spans[d][-2] <= low <= spans[d][-1]:
+                        spans[d][-1] = max(spans[d][-1], low + size)
+                    else:
+                        spans[d] += [low, low + size]
+                    items[d] |= found
             hit, out = np.zeros(len(total), dtype=np.int64), texts.to_pylist() if clean else None
             for d in range(len(total)):
                 if not spans[d]:
@@ -112,7 +99,7 @@ def _summary(docs: DataFrame, carried: list[str], percent: int, clean: bool) ->
                         kept.append(raw[at:int(block.starts[low]) - base])
                         at = int(block.ends[high - 1]) - base
                     out[d] = b"".join([*kept, raw[at:]]).decode()
-            digest = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
+            digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
             columns = [pa.array(total), pa.array(hit), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()),
                        pa.array((hit > 0) & (100 * hit >= percent * total))]
             extra = [pa.array(out, pa.string())] if clean else []
@@ -133,9 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, pe
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // block_bytes))
     carried = list(dict.fromkeys([*keep, "text"]))
-    rows = docs.select(*carried, F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    context = docs.sparkSession.sparkContext
+    windows = []
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # at most about block_bytes
-        rows = _scan(rows, context.broadcast(Windows([tuple(r) for r in some], width)), carried)
-    return _summary(rows, carried, percent, clean).select(*keep, *(c.split()[0] for c in SCHEMA.split(", ")), *["clean_text"] * clean)
+        windows.append(docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in some], width)))
+    return _judged(docs.select(*carried), windows, carried, percent, clean).select(*keep, *(c.split()[0] for c in SCHEMA.split(", ")), *["clean_text"] * clean)

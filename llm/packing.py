@@ -15,6 +15,7 @@ stand; rows with a null doc_id too.  Whole sequences are one window and need no
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from llm import words
 SEQUENCE = 1024
 GRAIN = 4
 END = 0
-CACHED_WORDS = 1_000_000  # words, and parts of words, whose ids a worker keeps; it starts anew beyond
+CACHED_WORDS = 600_000  # words, and parts of words, whose ids a worker keeps; it starts anew beyond, before the 699,050 at which Python doubles the table
 JOINED_WORDS = 4_000
 CLOSING = ".,;:!?%&$*#|\"')(<>-"
 SLICE_BYTES = 4 << 20
@@ -43,6 +44,7 @@ ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core, and threads hold memory of their own
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

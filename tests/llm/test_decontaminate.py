@@ -48,3 +48,11 @@ def test_odd_rows(spark, odd, none):
     got = D.decontaminate(odd, bench, keep=("doc_id", "score", "n_words")[:2]).collect()
     assert len(got) == odd.count() and {r.doc_id for r in got if r.contaminated} == {1, 6}
     assert D.decontaminate(none, bench).count() == 0 and D.decontaminate(odd, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_a_task_has_one_python_worker_for_any_number_of_blocks(spark, docs_of):
+    """Each Python step of a task is a worker of its own, which Spark keeps with all its memory for the passes to come."""
+    bench = spark.createDataFrame([(i, f"item number {i}") for i in range(9)], "item_id long, text string")
+    for size in (D.BLOCK_BYTES, 30):
+        plan = D.decontaminate(docs_of([(1, "item number 1")]), bench, block_bytes=size)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -126,3 +129,12 @@ def test_a_worker_that_turns_to_another_pass_holds_no_encoder(spark, docs_of):
 
     other = docs_of([(i, "x") for i in range(64)]).repartition(8).select("text").mapInArrow(run, "held long")
     assert sum(r.held for r in other.collect()) == 0
+
+
+def test_the_encoder_starts_no_threads():
+    """A task has a core; threads of the tokenizer hold memory of their own in every worker."""
+    code = (f"import os; from llm import packing as P; e = P.Encoder({PATH!r}); count = lambda: len(os.listdir('/proc/self/task')); n = count(); "
+            "e._encode([f'some words {i}' for i in range(999)]); print(count() - n)")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(P.__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, check=True).stdout.split() == ["0"]
