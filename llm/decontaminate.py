@@ -1,9 +1,9 @@
 """Benchmark decontamination: 13-word windows of benchmark items, looked up in every window of every text.
 
 The windows of the items are hashed into a set that each task receives; hits are verified on the words
-themselves.  The set is broadcast in blocks of at most BLOCK_BYTES of item text (or one item): documents
-pass one block after another in the same tasks, carrying their spans, so a larger benchmark takes more
-passes and never more memory, and the result is the same for one block and for many.
+themselves.  The set is broadcast in blocks of at most BLOCK_BYTES of item text (or one item), and a document
+meets all blocks in one Python step: each step of a task is a worker of its own, which Spark keeps.  A worker
+holds the windows of all blocks; the result is the same for one block and for many.
 
 Nulls and ties: null or empty texts have no words and no hits; null or empty items have no windows.  Items
 with equal windows each count; items that share an item_id count once.  Rows are judged one by one.
