@@ -43,6 +43,19 @@ def test_rules_keep_trusted_text(docs_of, labels_of):
     assert all(got[i].kept == (i % 4 != 0) for i in range(400))
 
 
+def test_every_trusted_document_teaches(docs_of, labels_of):
+    rows = [(i, f"w{i} common") for i in range(60)] + [(7, "again w7")]
+    labels = labels_of([(i, 1, 0) for i in range(50)] + [(3, 1, 0), (55, 0, 0), (None, 1, 0)]).where("quality > 0")
+    raw, target = np.zeros(R.BUCKETS), np.zeros(R.BUCKETS)
+    for doc_id, text in rows:
+        place, _ = R.features(pa.array([text]))
+        np.add.at(raw, place, 1)
+        np.add.at(target, place, doc_id < 50)
+    want = np.log(target + R.PRIOR) - np.log(raw * (target.sum() / raw.sum()) + R.PRIOR)
+    for block in (100, 7):
+        assert np.allclose(R.multinomials(docs_of(rows), labels, block), want)
+
+
 def test_classifier_held_out(docs_of, labels_of):
     rows, labels = corpus()
     got = C.score_documents(docs_of(rows), labels_of(labels)).collect()
