@@ -1,3 +1,4 @@
+import random
 import re
 
 from llm import html_extraction as H
@@ -64,3 +65,50 @@ def test_lead_outside_the_largest_container_stays():
     page = "<body><div class=content><div class=lead><p>{}</p></div><div class=text><section><p>{}</p></section><section><p>{}</p></section></div></div></body>"
     parts = ["lead " * 25, "first " * 20, "second " * 80]
     assert H.main_blocks(page.format(*parts)) == [p.strip() for p in parts]
+
+
+def by_windows(lengths, window, surge):
+    """Places of the lines kept: those of runs of windows that hold text, where one window of the run holds enough."""
+    sums = {i: sum(lengths[max(0, i):i + window]) for i in range(1 - window, len(lengths))}
+    kept, run = [], []
+    for i in [*sums, None]:
+        if i is not None and sums[i]:
+            run.append(i)
+            continue
+        if run and max(sums[j] for j in run) >= min(surge, max(sums.values())):
+            kept += [j for j in run if j >= 0 and lengths[j]]
+        run = []
+    return kept
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 30, 60]) for _ in range(rng.randrange(25))]
+        for window, surge in ((1, 30), (3, 86), (4, 0), (5, 1000)):
+            got = [i for low, high in H.stretches(lengths, window, surge) for i in range(low, high) if lengths[i]]
+            assert got == by_windows(lengths, window, surge)
+
+
+STORY = ["first part of the story " * 8, "second part of the story " * 20, "third part of the story " * 12]
+
+
+def test_windows_choose_the_text(monkeypatch):
+    menu = "<nav><ul><li>a</li><li>b</li><li>c</li></ul></nav>"
+    page = f"<body><div>Home News Contact</div>{menu}{''.join(f'<p>{p}</p>' for p in STORY)}{menu}<div>Copyright 2020 Foo Inc</div></body>"
+    story = [p.strip() for p in STORY]
+    assert H.main_blocks(page) == story
+    assert H.main_blocks(f"<body><div>Home</div>{menu}<p>short</p></body>") == ["short"]
+    wide = H.stretches
+    monkeypatch.setattr(H, "stretches", lambda lengths: wide(lengths, 9))
+    assert H.main_blocks(page) == ["Home News Contact", *story, "Copyright 2020 Foo Inc"]
+
+
+def test_no_name_or_article_alone_drops_the_story():
+    text, story = "".join(f"<p>{p}</p>" for p in STORY), [p.strip() for p in STORY]
+    for page in ("<form id=aspnetForm>{}</form>", "<div id=ad-hoc-networks>{}</div>", "<aside><div class=search-results-for-river>{}</div></aside>",
+                 "<form id=f><div class=ad>Buy this!</div>{}</form>"):
+        assert H.main_blocks(f"<body>{page.format(text)}</body>") == story
+    for page in ("<article>A teaser of something else</article>", "<main><p>One line</p></main>"):
+        assert H.main_blocks(f"<body>{page}{text}</body>")[1:] == story
+    assert H.main_blocks(f"<body><article>{text}</article><p>Something else</p></body>") == story
