@@ -107,6 +107,7 @@ def best_f1(curve: DataFrame, by: Sequence[str] = (), padded: bool = False, digi
 
 CHUNK = 65_536
 MOST_TASKS = 4_096
+ROUNDS_HELD = 16  # rounds of a chunk whose draws a task holds at once
 SHIPPED_SCORES = 1 << 20  # distinct scores up to which the tasks hold them all, 24 MB
 
 
@@ -140,44 +141,53 @@ def bootstrap_by_rows(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
     return _joined_draws(counts, rounds, seed)
 
 
-def _counted_draws(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
-    spark = counts.sparkSession
-    few = counts.select("score", "pos", "neg").toArrow().sort_by("score")  # at most SHIPPED_SCORES rows
-    score, pos, neg = (few.column(c).to_numpy() for c in ("score", "pos", "neg"))
-    places = np.arange(len(score))
+def _draw_groups(pos: np.ndarray, neg: np.ndarray) -> tuple[dict, dict]:
+    """For each group of draws the places of its scores, the rows under each, their label; and the running number of rows."""
+    places = np.arange(len(pos))
     if pos.sum() > 5:
         groups = {1: (places, pos, np.ones_like(places)), 0: (places, neg, np.zeros_like(places))}
     else:  # without strata all rows form one group; negatives come first
         groups = {-1: (np.tile(places, 2), np.concatenate([neg, pos]), np.repeat([0, 1], len(places)))}
-    ends = {g: np.cumsum(n) for g, (_, n, _) in groups.items()}
-    shared = spark.sparkContext.broadcast((score, groups, ends))
-    sizes = {g: int(e[-1]) if len(e) else 0 for g, e in ends.items()}
+    return groups, {g: np.cumsum(n) for g, (_, n, _) in groups.items()}
+
+
+def _counted_draws(counts: DataFrame, rounds: int, seed: int) -> DataFrame:
+    spark = counts.sparkSession
+    few = counts.select("score", "pos", "neg").toArrow().sort_by("score")  # at most SHIPPED_SCORES rows
+    score, pos, neg = (few.column(c).to_numpy() for c in ("score", "pos", "neg"))
+    sizes = {g: int(e[-1]) if len(e) else 0 for g, e in _draw_groups(pos, neg)[1].items()}
+    shared = spark.sparkContext.broadcast((score, pos, neg))
     chunks = {g: -(-size // CHUNK) for g, size in sizes.items()}
     total = sum(chunks.values())
     parts = [spark.range(0, n, 1, max(1, min(n, MOST_TASKS * n // max(1, total)))).select(F.lit(g).alias("grp"), (F.col("id") * CHUNK).alias("lo"))
              for g, n in chunks.items()]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, pos, neg = shared.value
+        groups, ends = _draw_groups(pos, neg)
         for batch in batches:
             for grp, lo in zip(batch["grp"].tolist(), batch["lo"].tolist()):
-                yield _chunk_draws(*shared.value, grp, lo, min(lo + CHUNK, sizes[grp]), rounds, seed)
+                yield from _chunk_draws(score, groups, ends, grp, lo, min(lo + CHUNK, sizes[grp]), rounds, seed)
 
     drawn = reduce(DataFrame.unionByName, parts).mapInPandas(draw, "round int, score double, pos bigint, neg bigint")
     return drawn.groupBy("round", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _chunk_draws(score: np.ndarray, groups: dict, ends: dict, grp: int, low: int, high: int, rounds: int, seed: int) -> pd.DataFrame:
-    """(round, score, pos, neg) of the draws that have the numbers from low up to high, in all rounds."""
+def _chunk_draws(score: np.ndarray, groups: dict, ends: dict, grp: int, low: int, high: int, rounds: int, seed: int) -> Iterator[pd.DataFrame]:
+    """(round, score, pos, neg) of the draws that have the numbers from low up to high, some rounds at a time."""
     place, _, label = groups[grp]
-    size, found = np.uint64(ends[grp][-1]), [[] for _ in range(rounds)]
-    for _, digits in decimal_blocks(low, high):
-        for number in range(rounds):
-            slots = hashed_numbers(f"{seed}|{number + 1}|{grp}|", digits) % size
-            found[number].append(np.searchsorted(ends[grp], slots.astype(np.int64), side="right"))
-    each = [np.unique(np.concatenate(f), return_counts=True) for f in found]
-    at, n = (np.concatenate([e[k] for e in each]) for k in (0, 1))
-    number = np.repeat(np.arange(1, rounds + 1), [len(e[0]) for e in each])
-    return pd.DataFrame({"round": number, "score": score[place[at]], "pos": n * label[at], "neg": n * (1 - label[at])})
+    size = np.uint64(ends[grp][-1])
+    for first in range(1, rounds + 1, ROUNDS_HELD):
+        numbers = range(first, min(first + ROUNDS_HELD, rounds + 1))
+        found = [[] for _ in numbers]
+        for _, digits in decimal_blocks(low, high):
+            for part, number in zip(found, numbers):
+                slots = hashed_numbers(f"{seed}|{number}|{grp}|", digits) % size
+                part.append(np.searchsorted(ends[grp], slots.astype(np.int64), side="right"))
+        each = [np.unique(np.concatenate(f), return_counts=True) for f in found]
+        at, n = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+        number = np.repeat(np.array(numbers), [len(e[0]) for e in each])
+        yield pd.DataFrame({"round": number, "score": score[place[at]], "pos": n * label[at], "neg": n * (1 - label[at])})
 
 
 def _joined_draws(counts: DataFrame, rounds: int, seed: int) -> DataFrame:

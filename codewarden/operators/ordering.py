@@ -13,6 +13,7 @@ from codewarden.session import cut_lineage
 
 HASH_PREFIX = 5  # hex digits: a million buckets per group; only those that hold rows are counted
 BUCKET_ROWS = 1_000_000
+SHIPPED_EDGES = 1 << 16  # edges of all groups up to which they and the totals of their buckets are broadcast, some 6 MB
 
 
 def seeded_hash(seed: int | str, *keys: Column) -> Column:
@@ -52,14 +53,20 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: str, sums: Seque
 
     `rows` must hold each (keys, order) once, so the quantile edges of its group give even buckets and the
     largest window holds about 1/buckets of a group.  The rows are read three times, so they are written out
-    first: they are the counts of much larger data.
+    first: they are the counts of much larger data.  What is broadcast is decided by counting the groups: the planner's
+    size of written rows is that of what they were made from, which may be a few numbers.
     """
     keys = list(keys)
     rows = cut_lineage(rows)
     buckets = buckets or bucket_count(rows)
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(max(1000, 10 * buckets))).alias("_edges"))
-    met = rows.join(cuts, keys) if keys else rows.join(F.broadcast(cuts), F.lit(True))  # one row without keys
+    few = True  # one row without keys
+    if keys:
+        cuts = cut_lineage(cuts)
+        few = cuts.count() * buckets <= SHIPPED_EDGES
+    small = F.broadcast if few else lambda table: table.hint("merge")
+    met = rows.join(small(cuts), keys) if keys else rows.join(small(cuts), F.lit(True))
     placed = met.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     within = Window.partitionBy(*keys, "_bucket").orderBy(direction(order)).rowsBetween(
@@ -73,6 +80,6 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: str, sums: Seque
         *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(every).alias(f"all_{c}") for c in sums])
     local = placed.withColumns({f"_run_{c}": F.sum(c).over(within) for c in sums})
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = local.join(small(offsets), [*keys, "_bucket"])
     return joined.withColumns({f"run_{c}": F.col(f"_run_{c}") + F.col(f"_off_{c}") for c in sums}).drop(
         "_bucket", *[f"_run_{c}" for c in sums], *[f"_off_{c}" for c in sums])

@@ -47,6 +47,13 @@ def test_draws_are_counted_where_they_are_made(spark, monkeypatch, positives):
     assert joined == found
 
 
+def test_rounds_are_held_a_few_at_a_time(spark, monkeypatch):
+    counts = M.score_counts(spark.createDataFrame([(i % 3 % 2, i / 90) for i in range(90)], "label int, score double"), "label", "score")
+    every = M.bootstrap_by_rows(counts, 7, 5).collect()
+    monkeypatch.setattr(M, "ROUNDS_HELD", 2)
+    assert sorted(M.bootstrap_by_rows(counts, 7, 5).collect()) == sorted(every) and {r["round"] for r in every} == set(range(1, 8))
+
+
 def test_no_rows_give_no_draws(spark):
     counts = M.score_counts(spark.createDataFrame([], "label int, score double"), "label", "score")
     assert M.bootstrap_by_rows(counts, 3, 1).collect() == []

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codewarden.operators import ordering
 from codewarden.operators import sampling as G
 from codewarden.operators.ordering import lowest_hashes, running_totals, seeded_hash
 
@@ -138,3 +141,18 @@ def test_running_totals_match_a_plain_loop(spark, descending):
         for _, s, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1], reverse=descending):
             total += v
             assert got[(k, s)] == total
+
+
+def test_running_totals_broadcast_what_is_small(spark, monkeypatch):
+    def unfold(frames):
+        for frame in frames:
+            yield pd.concat([pd.DataFrame({"k": k % 3, "s": np.arange(5_000) / 5_000, "v": 1}) for k in frame["id"]])
+
+    rows = spark.range(3).mapInPandas(unfold, "k int, s double, v int")  # the planner takes them for as small as the range
+    want = sorted((k, i / 5_000, i + 1) for k in range(3) for i in range(5_000))
+    for shipped, join in ((ordering.SHIPPED_EDGES, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(ordering, "SHIPPED_EDGES", shipped)
+        out = running_totals(rows, ["k"], "s", ["v"], descending=False)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and plan.count(f"{join} ") >= 2
+        assert sorted((r.k, r.s, r.run_v) for r in out.collect()) == want
