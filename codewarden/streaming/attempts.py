@@ -28,47 +28,52 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Attempts(StatefulProcessor):
-    """State of a task: what became of each attempt, what was last said of it, and when it was last heard of."""
+    """State of a task: what became of each attempt, what was last said of it, and when it was last heard of.
+
+    All of it is one value: each call to the state store is a message to the JVM, and a task has few attempts.
+    """
 
     def __init__(self, max_attempts: int, timeout: int, keep: int):
         self.max_attempts, self.timeout, self.keep = max_attempts, timeout, max(keep, 2 * timeout)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempts = handle.getMapState("attempts", "attempt int", "rank int, asked long")
-        self.said = handle.getValueState("said", "status string, failed int, change int, heard long")
+        self.task = handle.getValueState("task", "attempts array<int>, ranks array<int>, asked array<long>, status string, failed int, change int, heard long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        status, failed, change, heard = self.said.get() or (None, 0, 0, -1)
-        before = heard
+        before = self.task.get()
+        numbers, ranks, times, *said, heard = before or ([], [], [], None, 0, 0, -1)
+        attempts, timers, last = dict(zip(numbers, zip(ranks, times))), set(), heard
         for row in rows:
             heard = max(heard, row.millis)
-            known = self.attempts.getValue((row.attempt,)) if self.attempts.containsKey((row.attempt,)) else (-1, 0)
+            known = attempts.get(row.attempt, (-1, 0))
             rank = RANKS[row.outcome]
             if rank > known[0] or rank == 0 == known[0] and row.millis > known[1]:
-                self.attempts.updateValue((row.attempt,), (rank, row.millis))
+                attempts[row.attempt] = (rank, row.millis)
                 if rank == 0:
-                    self.handle.registerTimer(row.millis + self.timeout)
-        if heard > before:
-            self.handle.registerTimer(heard + self.keep)
-        yield from self._tell(key, status, failed, change, heard)
+                    timers.add(row.millis + self.timeout)
+        if heard > last:
+            timers.add(heard + self.keep)
+        for timer in sorted(timers):
+            self.handle.registerTimer(timer)
+        yield from self._tell(key, attempts, said, heard, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.said.exists():
+        before = self.task.get()
+        if before is None:
             return
         now = expiredTimerInfo.getExpiryTimeInMs()
-        status, failed, change, heard = self.said.get()
+        numbers, ranks, times, *said, heard = before
         if heard + self.keep <= now:
-            self.attempts.clear()
-            self.said.clear()
+            self.task.clear()
             return
-        for (attempt,), (rank, asked) in list(self.attempts.iterator()):
-            if rank == 0 and asked + self.timeout <= now:
-                self.attempts.updateValue((attempt,), (RANKS["silent"], asked))
-        yield from self._tell(key, status, failed, change, heard)
+        attempts = {attempt: (RANKS["silent"] if rank == 0 and asked + self.timeout <= now else rank, asked)
+                    for attempt, rank, asked in zip(numbers, ranks, times)}
+        yield from self._tell(key, attempts, said, heard, before)
 
-    def _tell(self, key, status, failed, change, heard) -> Iterator[Row]:
-        ranks = [value[0] for value in self.attempts.values()]
+    def _tell(self, key, attempts, said, heard, before) -> Iterator[Row]:
+        status, failed, change = said
+        ranks = [rank for rank, _ in attempts.values()]
         lost = sum(rank in (RANKS["silent"], RANKS["error"]) for rank in ranks)
         if RANKS["success"] in ranks:
             now = "Success"
@@ -79,7 +84,9 @@ class Attempts(StatefulProcessor):
         if (now, lost) != (status, failed):
             status, failed, change = now, lost, change + 1
             yield Row(task_id=key[0], status=now, failed=lost, change=change)
-        self.said.update((status, failed, change, heard))
+        after = (list(attempts), ranks, [asked for _, asked in attempts.values()], status, failed, change, heard)
+        if before is None or after != tuple(before):
+            self.task.update(after)
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from codewarden.streaming import attempts as A
 
@@ -71,3 +72,44 @@ def test_state_goes_after_the_time_it_is_kept(spark, tmp_path):
     states(spark, str(tmp_path), keep_ms=1_200_000)
     feed(spark, tmp_path, 1, [(1, 2, "error", 5_001), (2, 2, "success", 10_000)])
     assert states(spark, str(tmp_path), keep_ms=1_200_000)[1] == ("Retry", 1)
+
+
+class Calls:
+    """A state store of one task that counts the messages to it."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+    def clear(self):
+        self.calls += 1
+        self.kept = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_task_takes_few_messages():
+    store, told = Calls(), A.Attempts(3, 100, 1_000)
+    told.init(store)
+    events = [Row(attempt=n, outcome=o, millis=10 * n) for n in range(1, 9) for o in ("asked", "error", "asked")]
+    assert [r.status for r in told.handleInputRows((1,), iter(events), None)] == ["Failed"]
+    assert store.calls <= 2 + 9 and max(store.timers) == 80 + 1_000  # one read, one write, a timer for each attempt and one for the task
+    before = store.calls
+    assert list(told.handleInputRows((1,), iter(events), None)) == [] and store.calls == before + 1  # nothing new is not written
+    asked = Calls()
+    told.init(asked)
+    assert [r.status for r in told.handleInputRows((2,), iter(events[:1]), None)] == ["Waiting"] and asked.calls == 4
+    expiry = type("Expiry", (), {"getExpiryTimeInMs": lambda self: 110})()
+    assert [(r.status, r.failed) for r in told.handleExpiredTimer((2,), None, expiry)] == [("Retry", 1)]
